@@ -7,8 +7,8 @@ the Jaccard similarity of their shingle sets, and the bins are concentrated as i
 independent. Runs of ``rows`` bins are hashed into bands; records that share a
 band are candidates; candidates are verified exactly on their shingle sets.
 
-Scale: equal word sequences are collapsed into one class before any band leaves a
-task, so copies cost one row per class; bands are joined on their hash by a
+Scale: equal word sequences are one class, and a task emits the bands of a class once,
+so a hot group of copies costs a few rows; bands are joined on their hash by a
 sort-merge join that adaptive execution may split when a band is hot; shingles
 never leave a task, and whole texts travel only for the verification of candidates.
 
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import WordHasher, mix, shingle_hashes, words_of
-from corpusloom.runtime import checkpoint
+from corpusloom.runtime import broadcast_if_small, checkpoint
 
 _LOW = np.uint64((1 << 48) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FEW = 256  # records sketched together
+_SEEN = 1_000_000  # classes a task remembers; forgetting them costs repeated bands, no result
 
 
 def fast_similarity_sketch(hashes: np.ndarray, owner: np.ndarray, count: int, bins: int) -> np.ndarray:
@@ -69,7 +70,7 @@ def _sketcher(width: int, min_words: int, rows: int, bands: int):
     bins = rows * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for batch in batches:
             all_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), _FEW):
@@ -86,10 +87,14 @@ def _sketcher(width: int, min_words: int, rows: int, bands: int):
                     continue
                 owner = np.repeat(np.arange(len(ids)), sizes)
                 h, o = shingle_hashes(np.array(flat, np.uint64), owner, width)
+                fresh = []
+                if len(seen) > _SEEN:
+                    seen.clear()
+                for key in classes:
+                    fresh.append(key not in seen)
+                    seen.add(key)
                 keys = band_keys(fast_similarity_sketch(h, o, len(ids), bins), rows)
-                column = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel())
-                )
+                column = pa.array([k if new else None for k, new in zip(keys, fresh)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.string()), pa.array(classes, pa.binary()), column], ["id", "class_key", "bands"]
                 )
@@ -148,21 +153,29 @@ def near_duplicates(
         src.mapInArrow(_sketcher(width, max(min_words, width), rows, bands), "id string, class_key binary, bands array<bigint>")
     )
     members = sketched.select("id", "class_key").distinct()
-    classes = sketched.groupBy("class_key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    # The first 8 bytes of the class stand for it in the bands; the full key comes back with the text.
-    banded = classes.select(F.xxhash64("class_key").alias("short"), F.explode("bands").alias("band"))
+    # 64 bits stand for the class in the bands; the full key comes back with the text.
+    short = F.xxhash64("class_key")
+    banded = (
+        sketched.select(short.alias("short"), F.explode("bands").alias("band"))
+        .repartition("band")
+        .dropDuplicates(["band", "short"])
+    )
     left, right = banded.toDF("short_a", "band"), banded.toDF("short_b", "band")
     pairs = checkpoint(
         left.join(right.hint("merge"), "band").where("short_a < short_b").select("short_a", "short_b").distinct()
     )
-    wanted = pairs.select(F.explode(F.array("short_a", "short_b")).alias("short")).distinct()
-    chosen = (
-        sketched.groupBy("class_key").agg(F.min("id").alias("id"))
-        .withColumn("short", F.xxhash64("class_key"))
-        .join(wanted, "short")
+    wanted = checkpoint(pairs.select(F.explode(F.array("short_a", "short_b")).alias("short")).distinct())
+    chosen = checkpoint(
+        sketched.select("id", "class_key", short.alias("short"))
+        .join(broadcast_if_small(wanted), "short")
+        .groupBy("short", "class_key")
+        .agg(F.min("id").alias("id"))
     )
     texts = checkpoint(
-        src.where(F.col("id").isNotNull()).join(chosen, "id").groupBy("short", "class_key").agg(F.first("text").alias("text"))
+        src.where(F.col("id").isNotNull())
+        .join(broadcast_if_small(chosen), "id")
+        .dropDuplicates(["class_key"])
+        .select("short", "class_key", "text")
     )
     links = (
         pairs.join(texts.toDF("short_a", "key_a", "text_a"), "short_a")
