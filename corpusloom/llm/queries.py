@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import p01_near_duplicates as p01
+from corpusloom.llm import p02_split_oversized as p02
+from corpusloom.llm import p04_lookalikes as p04
+from corpusloom.llm import p09_leakage as p09
+from corpusloom.llm import p10_truncated as p10
 from corpusloom.runtime import table
 
 
@@ -17,8 +22,53 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p01.duplicate_pairs(members, links)
 
 
+def _limited(spark: SparkSession, base: str) -> DataFrame:
+    return p02.with_limits(table(spark, base, "text_chunks"), table(spark, base, "text_processing_configs"))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return p02.split_oversized(_limited(spark, base)).select("id").distinct()
+
+
+def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return p02.all_pieces(_limited(spark, base))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return p04.lookalike_pairs(p04.look_groups(table(spark, base, "text_chunks")))
+
+
+def p4_forms(spark: SparkSession, base: str) -> DataFrame:
+    return p04.consistent_forms(table(spark, base, "text_chunks"), form="NFC")
+
+
+def p9_passages(spark: SparkSession, base: str) -> DataFrame:
+    return p09.leaked_passages(table(spark, base, "documents"), table(spark, base, "eval_items"), least=13)
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return (
+        p9_passages(spark, base)
+        .select(F.col("doc").cast("bigint").alias("doc_id"), F.col("item").cast("bigint").alias("item_id"))
+        .distinct()
+    )
+
+
+def _truncated(spark: SparkSession, base: str) -> DataFrame:
+    return p10.truncated(table(spark, base, "documents"), table(spark, base, "common_words"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return _truncated(spark, base).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p10_report(spark: SparkSession, base: str) -> DataFrame:
+    return p10.truncation_report(table(spark, base, "documents"), _truncated(spark, base))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    found = (p1_found, p2_found, p2_pieces, p4_found, p4_forms, p9_found, p9_passages, p10_found, p10_report)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
