@@ -203,3 +203,44 @@ def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within).select(
         F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")
     ).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(class_key, root): the smallest class of each connected group of links.
+
+    Labels spread along links and then jump to the label of their label, so the rounds
+    grow with the logarithm of a group's diameter; each round is checkpointed.
+    """
+    edges = checkpoint(
+        links.select(F.explode(F.array(F.struct("class_a", "class_b"), F.struct(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))).alias("e"))
+        .select(F.col("e.class_a").alias("class_key"), F.col("e.class_b").alias("other"))
+        .distinct()
+    )
+    labels = checkpoint(edges.groupBy("class_key").agg(F.least(F.min("other"), F.first("class_key")).alias("root")))
+    while True:
+        near = edges.join(labels.toDF("other", "root"), "other").groupBy("class_key").agg(F.min("root").alias("near"))
+        spread = labels.join(near, "class_key").select("class_key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = labels.toDF("at", "far")
+        after = checkpoint(
+            spread.join(jump, spread["root"] == jump["at"], "left").select("class_key", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
+        )
+        labels = after.select("class_key", "root")
+        if after.where("old <> root").limit(1).count() == 0:
+            return labels
+
+
+def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, links): one row for each record that has a class.
+
+    ``class_id`` is that of its word sequence, ``group_id`` that of all classes it is
+    linked to, directly or through others; ``links`` counts the other records linked to it.
+    """
+    sizes = members.groupBy("class_key").agg(F.count("*").alias("n"))
+    ends = links.select("class_a", "class_b").unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
+    degree = ends.join(sizes.toDF("class_b", "m"), "class_b").groupBy("class_a").agg(F.sum("m").alias("m")).withColumnRenamed("class_a", "class_key")
+    per_class = (
+        sizes.join(degree, "class_key", "left").join(components(links), "class_key", "left")
+        .select("class_key", F.hex("class_key").alias("class_id"), F.hex(F.coalesce("root", "class_key")).alias("group_id"),
+                (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    )
+    return members.join(per_class, "class_key").select("id", "class_id", "group_id", "links")

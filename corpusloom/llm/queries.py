@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import p01_near_duplicates as p01
 from corpusloom.llm import p02_split_oversized as p02
+from corpusloom.llm import p03_quality as p03
 from corpusloom.llm import p04_lookalikes as p04
+from corpusloom.llm import p05_language as p05
+from corpusloom.llm import p06_encoding as p06
+from corpusloom.llm import p07_scan_noise as p07
+from corpusloom.llm import p08_packing as p08
 from corpusloom.llm import p09_leakage as p09
 from corpusloom.llm import p10_truncated as p10
-from corpusloom.runtime import table
+from corpusloom.runtime import checkpoint, table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -22,6 +27,11 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p01.duplicate_pairs(members, links)
 
 
+def p1_groups(spark: SparkSession, base: str) -> DataFrame:
+    members, links = p01.near_duplicates(table(spark, base, "text_chunks"))
+    return p01.duplicate_groups(members, checkpoint(links))
+
+
 def _limited(spark: SparkSession, base: str) -> DataFrame:
     return p02.with_limits(table(spark, base, "text_chunks"), table(spark, base, "text_processing_configs"))
 
@@ -34,6 +44,22 @@ def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     return p02.all_pieces(_limited(spark, base))
 
 
+def _measured(spark: SparkSession, base: str) -> DataFrame:
+    return p03.measured_texts(table(spark, base, "text_chunks"), table(spark, base, "common_words"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return p03.not_prose(_measured(spark, base))
+
+
+def p3_statistics(spark: SparkSession, base: str) -> DataFrame:
+    return _measured(spark, base)
+
+
+def p3_documents(spark: SparkSession, base: str) -> DataFrame:
+    return p03.document_statistics(_measured(spark, base))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return p04.lookalike_pairs(p04.look_groups(table(spark, base, "text_chunks")))
 
@@ -42,6 +68,57 @@ def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     return p04.consistent_forms(table(spark, base, "text_chunks"), form="NFC")
 
 
+def _segments(spark: SparkSession, base: str) -> DataFrame:
+    return p05.language_segments(table(spark, base, "preprocessing_results"), table(spark, base, "common_words"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    found = p05.mislabelled(table(spark, base, "preprocessing_results"), p05.text_languages(_segments(spark, base)))
+    return found.select(F.col("id").alias("result_id"), "lang")
+
+
+def p5_segments(spark: SparkSession, base: str) -> DataFrame:
+    return _segments(spark, base).withColumnRenamed("id", "result_id")
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    found = p06.restored_texts(table(spark, base, "preprocessing_results")).where("affected")
+    return found.select(F.col("id").alias("result_id")).distinct()
+
+
+def p6_restored(spark: SparkSession, base: str) -> DataFrame:
+    return p06.restored_texts(table(spark, base, "preprocessing_results")).where("affected").withColumnRenamed("id", "result_id")
+
+
+def _pages(spark: SparkSession, base: str) -> DataFrame:
+    return p07.page_texts(table(spark, base, "preprocessing_results"), table(spark, base, "text_chunks"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    pages = _pages(spark, base)
+    noise, _ = p07.page_noise(pages, p07.frequent_forms(pages.select("text")))
+    return p07.noisy_pages(noise)
+
+
+def p7_paragraphs(spark: SparkSession, base: str) -> DataFrame:
+    pages = _pages(spark, base)
+    known = p07.frequent_forms(pages.select("text"))
+    noise, headers = p07.page_noise(pages, known)
+    return p07.repaired_paragraphs(pages, checkpoint(noise), checkpoint(headers), known)
+
+
+def _packed(spark: SparkSession, base: str) -> DataFrame:
+    return p08.packed(p08.token_counts(table(spark, base, "documents")), table(spark, base, "pack_limits"))
+
+
+def p8_assignment(spark: SparkSession, base: str) -> DataFrame:
+    return _packed(spark, base).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    return p08.fill_report(_packed(spark, base), table(spark, base, "pack_limits"))
+
+
 def p9_passages(spark: SparkSession, base: str) -> DataFrame:
     return p09.leaked_passages(table(spark, base, "documents"), table(spark, base, "eval_items"), least=13)
 
@@ -67,9 +144,22 @@ def p10_report(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_pieces, p4_found, p4_forms, p9_found, p9_passages, p10_found, p10_report)
+    found = (
+        p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_statistics, p3_documents, p4_found, p4_forms, p5_found, p5_segments,
+        p6_found, p6_restored, p7_found, p7_paragraphs, p8_assignment, p8_fill, p9_found, p9_passages, p10_found, p10_report,
+    )
     return {f.__name__: f for f in found}
 
 
+#: Problem 2 is plain SQL; the other operators are tested against brute force and invariants.
+_ORACLES = {
+    "p2_found": """
+        SELECT DISTINCT t.id FROM text_chunks t
+        JOIN text_processing_configs c ON c.config_id = coalesce(t.config_id, 'default')
+        WHERE length(t.content) > c.chunk_size
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
