@@ -134,14 +134,15 @@ def with_limits(items: DataFrame, configs: DataFrame, *, id_col: str = "id", tex
         F.col("config_id").alias("name"), F.col("chunk_size").alias("size"), F.col("chunk_overlap").alias("overlap"), "separators"
     ).dropDuplicates(["name"])
     usual = limits.where("name = 'default'").select(
-        F.col("size").alias("size_0"), F.col("overlap").alias("overlap_0"), F.col("separators").alias("separators_0")
+        F.col("name").alias("fallback"), F.col("size").alias("size_0"), F.col("overlap").alias("overlap_0"), F.col("separators").alias("separators_0")
     )
     named = items.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(config_col, F.lit("default")).alias("name")
     )
     return (
         named.join(broadcast_if_small(limits), "name", "left")
-        .join(F.broadcast(usual), F.lit(True), "left")  # one row
+        .withColumn("fallback", F.lit("default"))
+        .join(F.broadcast(usual), "fallback", "left")  # one row
         .select(
             "id", "text",
             F.coalesce("size", "size_0").alias("size"),
