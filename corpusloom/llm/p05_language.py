@@ -155,7 +155,7 @@ def fit_profiles(records: DataFrame, common_words: DataFrame, *, text_col: str,
         frequent.setdefault(r.lang, set()).add(r.word)
     counts = {lang: Counter() for lang in frequent}
     labelled = records.select(
-        F.col(id_col).alias("id"), label_language(F.col(label_col)).alias("lang"), F.substring(F.col(text_col), 1, 5000).alias("text")
+        F.col(id_col).alias("id"), label_language(F.col(label_col)).alias("lang"), F.col(text_col).alias("text")
     ).where("lang is not null and length(text) >= 80")
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # a hashed thousandth-wise sieve keeps the ranked part small on large tables
