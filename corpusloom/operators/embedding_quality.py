@@ -7,6 +7,10 @@ dimensions, so they cost n * d * d, not n * n.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,15 +99,24 @@ def inter_cluster(vectors: DataFrame, cluster_col: str = "label") -> DataFrame:
     )
 
 
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The products of all pairs of dimensions, summed over the task's vectors."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            u = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            total = u.T @ u if total is None else total + u.T @ u
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["ij", "p"])
+
+
 def pairwise_cosine(vectors: DataFrame) -> DataFrame:
     """Mean and deviation of the cosine of all pairs, exactly, from sums over dimensions and pairs of dimensions."""
     size = V.norm(F.col("embedding"))
     unit = vectors.where(size > 0).select(F.transform("embedding", lambda x: x.cast("double") / size).alias("u"))
     sums = unit.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("first"))
-    d = F.size("u")
-    products = F.flatten(F.transform("u", lambda x: F.transform("u", lambda y: x * y)))
-    gram = unit.select(F.posexplode(products).alias("ij", "p")).groupBy("ij").agg(F.sum("p").alias("g")).agg(F.sum(F.col("g") * F.col("g")).alias("second"))
-    n = unit.agg(F.count("*").alias("n"), F.max(d).alias("dims"))
+    gram = unit.mapInArrow(_gram, "ij int, p double").groupBy("ij").agg(F.sum("p").alias("g")).agg(F.sum(F.col("g") * F.col("g")).alias("second"))
+    n = unit.agg(F.count("*").alias("n"))
     one = [x.withColumn("one", F.lit(1)) for x in (n, sums, gram)]  # one row each
     pairs = F.col("n") * (F.col("n") - 1)
     mean = (F.col("first") - F.col("n")) / pairs
