@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import ChunkSettings, ConfigurationError
 from corpusloom.functions.text import strip, tokens
+from corpusloom.runtime import spread
 
 _CHUNKS = "chunk_index int, start_char int, end_char int, content string"
 _SPACE = " \t\n\r\x0b\x0c"
@@ -118,7 +119,7 @@ def _chunker(cut: Callable[[str], list[tuple[int, int, str]]]):
 
 def _chunks(texts: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:
     kind = dict(texts.dtypes)[id_col]
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_chunker(cut), f"id {kind}, {_CHUNKS}")
+    return spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(_chunker(cut), f"id {kind}, {_CHUNKS}")
 
 
 def fixed_chunks(texts: DataFrame, s: ChunkSettings | None = None, *, id_col: str = "doc_id", text_col: str = "text", compat_tail: bool = False) -> DataFrame:
