@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import WordHasher, mix, shingle_hashes, words_of
-from corpusloom.runtime import broadcast_if_small, checkpoint
+from corpusloom.runtime import broadcast_if_small, checkpoint, spread
 
 _LOW = np.uint64((1 << 48) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -150,7 +150,7 @@ def near_duplicates(
     """
     src = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     sketched = checkpoint(
-        src.mapInArrow(_sketcher(width, max(min_words, width), rows, bands), "id string, class_key binary, bands array<bigint>")
+        spread(src).mapInArrow(_sketcher(width, max(min_words, width), rows, bands), "id string, class_key binary, bands array<bigint>")
     )
     members = sketched.select("id", "class_key").distinct()
     # 64 bits stand for the class in the bands; the full key comes back with the text.

@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.p06_encoding import restore
+from corpusloom.runtime import spread
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 PROFILE = 400
@@ -238,7 +239,7 @@ def language_segments(
     """(id, start, end, complete, lang, confidence) of every sentence, places in the restored text."""
     profiles = fit_profiles(records, common_words, text_col=text_col, label_col=label_col, id_col=id_col, sample_rows=sample_rows)
     src = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(_judge(profiles, min_chars, min_words, lead), _SEGMENTS)
+    return spread(src).mapInArrow(_judge(profiles, min_chars, min_words, lead), _SEGMENTS)
 
 
 def text_languages(segments: DataFrame) -> DataFrame:

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import spread
+
 # Code pages tried; unusual letters of Western languages and Russian letters, by frequency.
 WRONG_PAGES = ("cp1252", "latin-1", "cp437", "mac-roman", "cp1251", "cp850", "cp1250", "koi8-r", "cp866", "mac-cyrillic", "iso8859-15")
 LATIN_PAGES = ("cp1252", "mac-roman", "cp437", "cp850")
 CYRILLIC_PAGES = ("cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5")
-WESTERN = "€éáóíàèüäöñãçêúßùâôîõìòïëœ’“”–—…°¿¡ûÜÄÖÉÁÀÇÃÈÊÚÍÓÕ"
+WESTERN = "€éáóíàèüäöñãçêúßùâôîõìòïëœ’“”–—…°¿¡ûÜÄÖÉÁÀÇÃÈÊÚÍÓÕÒÙÏÔÎÂÑÌ"
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 
 _ESCAPE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}"
@@ -46,7 +48,7 @@ _CYRILLIC = re.compile(r"[\u0400-\u045f]")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 # left over when a byte was lost: the first characters of two- and three-byte sequences
 _REMNANT = re.compile(r"â€|â\u0080|‚Ä|ΓÇ|[ÃÂ](?=[^\w\s\"'’”)]|\s(?=[a-z])|$)|(?<=[a-z])[ÃÂ](?![A-ZÀ-Ý])|[├√](?=[^\s─-▟])|[\u0080-\u009f]")
-_COMMON = "‘’“”„‚–—…€•°¿¡«» ­™‐‑  №œŒ"
+_COMMON = "‘’“”„‚–—…€•°¿¡«»™‐‑№" + "\u00a0\u00ad\u2009\u202f"
 _MARGIN = 0.9
 _STEPS = 60
 
@@ -71,8 +73,10 @@ def _char_cost(c: str) -> float:
         return 0.0
     if c in _COMMON:
         return 1.0
+    if c in WESTERN:
+        return 1.0
     if 0xC0 <= o <= 0xFF and c not in "×÷ÐðÞþ":
-        return 1.0 if o >= 0xDF else 1.2
+        return 1.7
     if 0x410 <= o <= 0x44F or c in "ёЁ":
         return 1.0
     if 0xFB00 <= o <= 0xFB06:
@@ -164,7 +168,7 @@ def _run_steps(text: str):
 @lru_cache(50_000)
 def restore_run(run: str) -> tuple[str, tuple[str, ...]]:
     text, path = _search(run, _run_steps, run_cost, 5)
-    if any(">" in p for p in path) and run_cost(text) <= run_cost(run) - _MARGIN and all(_char_cost(c) <= 1.2 or c in run for c in text):
+    if any(">" in p for p in path) and run_cost(text) <= run_cost(run) - _MARGIN and all(_char_cost(c) <= 1.7 or c in run for c in text):
         return text, path
     return run, ()
 
@@ -304,4 +308,5 @@ def _restorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def restored_texts(records: DataFrame, *, id_col: str = "result_id", text_col: str = "original_text") -> DataFrame:
     """Every record's (id, affected, restored, operations)."""
-    return records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_restorer, _RESTORED)
+    src = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return spread(src).mapInArrow(_restorer, _RESTORED)

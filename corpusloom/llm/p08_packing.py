@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import broadcast_if_small, checkpoint, shuffle_partitions
+from corpusloom.runtime import broadcast_if_small, checkpoint, shuffle_partitions, spread
 
 #: A public tokenizer's vocabulary file; it must be readable on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -56,7 +56,8 @@ def token_counts(records: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 sizes += [len(e.ids) for e in encode(texts[at : at + _FEW], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["id", "tokens"])
 
-    return records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, tokens bigint")
+    src = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return spread(src).mapInArrow(run, "id bigint, tokens bigint")
 
 
 class Pattern:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import words_of
+from corpusloom.runtime import spread
 
 #: Characters of items in one block, and words of a shard: both bound a task's memory.
 BLOCK_CHARS = 4_000_000
@@ -169,6 +170,7 @@ def leaked_passages(
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1
     docs = documents.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    docs = spread(docs)
     parts = []
     for b in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect() if blocks > 1 else tests.collect()
