@@ -19,10 +19,14 @@ own; repeated rows give one result; an empty table gives none.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import checkpoint
+from corpusloom.runtime import checkpoint, spread
 
 _MARK = r"(?:\.\.\.|\u2026|\[(?:\.\.\.|\u2026)\]|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]|<truncated>|\ufffd)"
 _CLOSERS = "[\"'\u201d\u2019\u00bb)\\]]*"
@@ -30,6 +34,10 @@ _TERMINAL = rf"[.!?\u3002\uff01\uff1f]{_CLOSERS}$"
 _MARKER = r"^\s*(?:[-*\u2022\u25aa\u2013\u2014\u00b7+]|\d+[.)]|\[\d+\]|[a-z]\))\s+"
 _BUILT = r"\t|\||;\S|\S {2,}\S|^ {2,}|[{}<>=\\]|\(.*\):|^\d{4}-\d{2}-\d{2}|\u00bb|^[\w.-]{2,}:(?:\s|$)|^--|^#|,\S*[^\d\s]|^\S*/\S*$|\.{4,}"
 _FEW_WORDS = 6
+_TAIL = 40  # characters looked at for a mark or an end
+_COUNT_AT = 300_000
+_LETTERS = re.compile(r"[^\W\d_]+")
+_BLANK = re.compile(r"\n\s*\n")
 
 
 def _last(parts: Column) -> Column:
@@ -68,25 +76,49 @@ def _masked(block: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(block, r"\d+", "0"), r"^\S+(?=\s)", "X")
 
 
-def _closings(docs: DataFrame, open_ends: DataFrame) -> DataFrame:
-    """Short last blocks that end a text more often than they begin a longer block."""
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of what texts hold: words before their last one, and the first words of blocks, as (kind, key, n)."""
+    counts: dict[tuple[str, str], int] = {}
+
+    def flush() -> pa.RecordBatch:
+        kinds, keys = zip(*counts) if counts else ((), ())
+        batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "key", "n"])
+        counts.clear()
+        return batch
+
+    for batch in batches:
+        for core in batch.column(0).to_pylist():
+            words = _LETTERS.findall(core)
+            if words and core.endswith(words[-1]):
+                words.pop()
+            for w in set(words):
+                counts["word", w] = 1
+            for block in _BLANK.split(core):
+                ws = block.split(maxsplit=_FEW_WORDS)
+                if ws:
+                    counts["first", ws[0]] = counts.get(("first", ws[0]), 0) + 1
+                for k in range(1, len(ws)):
+                    start = " ".join(ws[:k])
+                    counts["start", start] = counts.get(("start", start), 0) + 1
+        if len(counts) > _COUNT_AT:
+            yield flush()
+    yield flush()
+
+
+def _closings(begins: DataFrame, open_ends: DataFrame) -> DataFrame:
+    """Short last blocks, with how often they end a text and how often they begin a longer block."""
     short = F.size(F.split("block", r"\s+")) <= _FEW_WORDS
     ends = (
         open_ends.where(short)
         .select(F.explode(F.array("block", _masked(F.col("block")))).alias("line"))
         .groupBy("line").agg(F.count("*").alias("n_end"))
     )
-    words = F.split("b", r"\s+")
-    begins = (
-        docs.select(F.explode(F.split("core", r"\n\s*\n")).alias("b"))
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(_FEW_WORDS)),
-                                      lambda k: F.when(F.size(words) > k, F.array_join(F.slice(words, 1, k), " ")))).alias("start"))
-        .where("start is not null")
-        .groupBy("start").agg(F.count("*").alias("n"))
-        .select("n", F.explode(F.array("start", _masked(F.col("start")))).alias("line"))
+    starts = (
+        begins.where("kind = 'start'")
+        .select("n", F.explode(F.array("key", _masked(F.col("key")))).alias("line"))
         .groupBy("line").agg(F.sum("n").alias("n_begin"))
     )
-    return ends.join(begins, "line", "left").select("line", "n_end", F.coalesce("n_begin", F.lit(0)).alias("n_begin"))
+    return ends.join(starts, "line", "left").select("line", "n_end", F.coalesce("n_begin", F.lit(0)).alias("n_begin"))
 
 
 def truncated(
@@ -107,10 +139,11 @@ def truncated(
     docs = records.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source"), F.col(text_col).alias("text")
     ).where(F.col("text").rlike(r"\S")).dropDuplicates(["id"])
-    docs = docs.withColumn("trimmed", F.regexp_replace("text", r"\s+$", ""))
-    docs = docs.withColumn("core", F.regexp_replace("trimmed", rf"\s*{_MARK}$", "")).withColumn("marked", F.col("core") != F.col("trimmed"))
-    # an ellipsis written as dots is a mark only when no sentence ends before it
-    opened = docs.where(~F.col("core").rlike(_TERMINAL))
+    trimmed = F.rtrim("text", F.lit(" \t\r\n\u00a0"))
+    docs = docs.withColumn("trimmed", trimmed).withColumn("body", F.greatest(F.length("trimmed") - _TAIL, F.lit(0)))
+    tail = F.regexp_replace(F.expr(f"substring(trimmed, body + 1, {_TAIL})"), rf"\s*{_MARK}$", "")
+    docs = docs.withColumn("core", F.concat(F.expr("substring(trimmed, 1, body)"), tail)).withColumn("marked", F.col("core") != F.col("trimmed"))
+    opened = docs.where(~F.right("core", F.lit(_TAIL)).rlike(_TERMINAL))
     lines = F.split("core", "\n")
     open_ends = checkpoint(
         opened.select(
@@ -131,18 +164,14 @@ def truncated(
     tail = F.regexp_extract("line", r"(?:^|[\s'\u2019\u201c(])(\p{Ll}\p{L}*)$", 1)
     judged = open_ends.withColumns({"words": words, "tail": tail, "masked": _masked(F.col("block")), "first": F.split("block", " ")[0]})
 
-    seen = (
-        docs.select(F.explode(F.regexp_extract_all("core", F.lit(r"(\p{L}+)(?=[^\p{L}]+\S)"), 1)).alias("tail"))
-        .groupBy("tail").agg(F.lit(True).alias("seen"))
+    begins = checkpoint(
+        spread(docs.select("core")).mapInArrow(_beginnings, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     )
-    closings = checkpoint(_closings(docs, open_ends))
+    seen = begins.where("kind = 'word'").select(F.col("key").alias("tail"), F.lit(True).alias("seen"))
+    closings = checkpoint(_closings(begins, open_ends))
     plain = closings.select(F.col("line").alias("block"), F.col("n_end").alias("e1"), F.col("n_begin").alias("b1"))
     mask = closings.select(F.col("line").alias("masked"), F.col("n_end").alias("e2"), F.col("n_begin").alias("b2"))
-    opener = (
-        docs.select(F.explode(F.split("core", r"\n\s*\n")).alias("b")).select(F.split(F.trim("b"), r"\s+")[0].alias("first"))
-        .groupBy("first").agg(F.count("*").alias("n_first"))
-        .where("n_first >= 20")
-    )
+    opener = begins.where("kind = 'first' and n >= 20").select(F.col("key").alias("first"), F.col("n").alias("n_first"))
     common = [r.word for r in function_words.select("word").distinct().limit(10_000).collect()]  # a small fixed table
     function = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
     judged = (
