@@ -138,12 +138,12 @@ def truncated(
     """
     docs = records.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source"), F.col(text_col).alias("text")
-    ).where(F.col("text").rlike(r"\S")).dropDuplicates(["id"])
+    ).where(F.col("text").rlike(r"\S"))
     trimmed = F.rtrim("text", F.lit(" \t\r\n\u00a0"))
     docs = docs.withColumn("trimmed", trimmed).withColumn("body", F.greatest(F.length("trimmed") - _TAIL, F.lit(0)))
     tail = F.regexp_replace(F.expr(f"substring(trimmed, body + 1, {_TAIL})"), rf"\s*{_MARK}$", "")
     docs = docs.withColumn("core", F.concat(F.expr("substring(trimmed, 1, body)"), tail)).withColumn("marked", F.col("core") != F.col("trimmed"))
-    opened = docs.where(~F.right("core", F.lit(_TAIL)).rlike(_TERMINAL))
+    opened = docs.where(~F.right("core", F.lit(_TAIL)).rlike(_TERMINAL)).dropDuplicates(["id"])
     lines = F.split("core", "\n")
     open_ends = checkpoint(
         opened.select(
