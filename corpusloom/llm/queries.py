@@ -22,7 +22,7 @@ from corpusloom.runtime import checkpoint, table
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     members, links = p01.near_duplicates(
-        table(spark, base, "text_chunks"), width=3, threshold=0.6, min_words=20, rows=5, bands=36
+        table(spark, base, "text_chunks"), width=3, threshold=0.6, min_words=20, rows=5, bands=42
     )
     return p01.duplicate_pairs(members, links)
 
