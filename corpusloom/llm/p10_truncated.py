@@ -5,7 +5,7 @@ cut), a histogram of the lengths of texts without terminal punctuation; a length
 holds far more texts than its neighbourhood is a limit of that source, and the
 texts at it are cut. Cuts in transfer fall at any length, so the last line is judged
 as well: prose without its end, a line ending in a function word or in a broken
-word, or an unfinished entry in a list of sentences is cut; a closing line that
+word, an unfinished entry in a list of sentences, or an open end before a blank is cut; a closing line that
 many documents share, a title, a table row or a list entry is complete.
 
 Scale: the histograms, the closing lines and the vocabulary are aggregates with
@@ -32,7 +32,7 @@ _MARK = r"(?:\.\.\.|\u2026|\[(?:\.\.\.|\u2026)\]|\((?:more|continued|cont\.?)\)|
 _CLOSERS = "[\"'\u201d\u2019\u00bb)\\]]*"
 _TERMINAL = rf"[.!?\u3002\uff01\uff1f]{_CLOSERS}$"
 _MARKER = r"^\s*(?:[-*\u2022\u25aa\u2013\u2014\u00b7+]|\d+[.)]|\[\d+\]|[a-z]\))\s+"
-_BUILT = r"\t|\||;\S|\S {2,}\S|^ {2,}|[{}<>=\\]|\(.*\):|^\d{4}-\d{2}-\d{2}|\u00bb|^[\w.-]{2,}:(?:\s|$)|^--|^#|,\S*[^\d\s]|^\S*/\S*$|\.{4,}"
+_BUILT = r"\t|\||;\S|\S {3,}\S|^ {2,}|[{}<=\\]|\S>|\(.*\):|^\d{4}-\d{2}-\d{2}|\u00bb|^[\w.-]{2,}:(?:\s|$)|^--|^#|,(?:[\w./-]*[A-Za-z][\w./-]*|-)(?:,|$)|(?:,[\w./-]+){2,}$|^\S*/\S*$|\.{4,}"
 _FEW_WORDS = 6
 _TAIL = 40  # characters looked at for a mark or an end
 _COUNT_AT = 300_000
@@ -110,8 +110,8 @@ def _closings(begins: DataFrame, open_ends: DataFrame) -> DataFrame:
     short = F.size(F.split("block", r"\s+")) <= _FEW_WORDS
     ends = (
         open_ends.where(short)
-        .select(F.explode(F.array("block", _masked(F.col("block")))).alias("line"))
-        .groupBy("line").agg(F.count("*").alias("n_end"))
+        .select(F.xxhash64("core").alias("look"), F.explode(F.array("block", _masked(F.col("block")))).alias("line"))
+        .groupBy("line").agg(F.count_distinct("look").alias("n_end"))
     )
     starts = (
         begins.where("kind = 'start'")
@@ -147,7 +147,7 @@ def truncated(
     lines = F.split("core", "\n")
     open_ends = checkpoint(
         opened.select(
-            "id", "source", "text", "core", "marked",
+            "id", "source", "text", "trimmed", "core", "marked",
             _last(lines).alias("line"),
             F.element_at(F.array_union(F.array(F.lit("")), F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 1)), -1).alias("before"),
             F.regexp_replace(F.trim(_last(F.split("core", r"\n\s*\n"))), r"\s+", " ").alias("block"),
@@ -196,6 +196,7 @@ def truncated(
         .when(broken & ~closing, "broken word")
         .when(dangling, "function word")
         .when(unfinished, "unfinished entry")
+        .when((F.col("text") != F.col("trimmed")) & ~closing, "blank after an open end")
         .when(~built & ~closing & ~title & (wordy | upper | F.col("n_first").isNotNull()), "prose")
     )
     return judged.select("id", "source", F.col("limit").isNotNull().alias("at_limit"), why.alias("why")).where("why is not null")
