@@ -192,6 +192,26 @@ def test_p7_noise_and_repair(spark):
     assert p07.noisy_pages(p07.page_noise(none, {})[0]).count() == 0
 
 
+def test_p7_headers_and_fragments(spark):
+    prose = "the page reader keeps every number in order and the table writes the number again"
+    clean = [(f"n{k}", 1, 0, f"{prose} for part {k}.") for k in range(30)]
+    left_right = [("h", 1, -1, f"{prose}\n{prose}.")] + [
+        ("h", k, -1, (f"{40 + k}    Storage Quarterly" if k % 2 == 0 else f"The Reader Guide    {40 + k}") + f"\n{prose} in {k}.") for k in (2, 3, 4)
+    ]
+    chunks = [
+        ("c", 1, 0, f"{prose} for a piece of the tab"), ("c", 1, 1, f"le and {prose}."), ("c", 2, 2, f"Figure 3\n{prose}."), ("c", 2, 3, f"Figure 4\n{prose}!"),
+        ("c", 3, 4, f"Figure 5\n{prose}."), ("c", 3, 5, "the ta\u00adbic and tablc and the p\u0430gc"),
+    ]
+    whole = [("w", 1, -1, f"{prose} of a tab"), ("w", 2, -1, f"ader and {prose} with a p\u0430gc and pa\u00adgc.")]
+    pages = spark.createDataFrame(clean + left_right + chunks + whole, "document_id string, page_number int, part int, text string")
+    known = p07.frequent_forms(pages.select("text"))
+    noise, headers = p07.page_noise(pages, known)
+    assert {tuple(r) for r in p07.noisy_pages(noise).collect()} == {("h", 2), ("h", 3), ("h", 4)}
+    assert ("h", "@40") in {tuple(r) for r in headers.collect()}
+    text = " ".join(r.text for r in p07.repaired_paragraphs(pages, noise, headers, known).where("document_id = 'h'").collect())
+    assert "Quarterly" not in text and "Guide" not in text and text.count("in order") == 5
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=25))
 def test_p8_histogram(histogram):
