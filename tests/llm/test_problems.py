@@ -192,6 +192,13 @@ def test_p7_noise_and_repair(spark):
     assert p07.noisy_pages(p07.page_noise(none, {})[0]).count() == 0
 
 
+def test_p7_page_numbers():
+    for line in ("12", "- 12 -", "Page 3 of 10", "xxvii", "[iv]", "LXX"):
+        assert p07._NUMBER.match(line), line
+    for line in ("", "--", "mill", "iiii", "12 pages", "Figure 3"):
+        assert not p07._NUMBER.match(line), line
+
+
 def test_p7_headers_and_fragments(spark):
     prose = "the page reader keeps every number in order and the table writes the number again"
     clean = [(f"n{k}", 1, 0, f"{prose} for part {k}.") for k in range(30)]
