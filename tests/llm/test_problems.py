@@ -195,7 +195,7 @@ def test_p7_noise_and_repair(spark):
 def test_p7_page_numbers():
     for line in ("12", "- 12 -", "Page 3 of 10", "xxvii", "[iv]", "LXX"):
         assert p07._NUMBER.match(line), line
-    for line in ("", "--", "mill", "iiii", "12 pages", "Figure 3"):
+    for line in ("", "--", "mill", "dix.", "iiii", "12 pages", "Figure 3"):
         assert not p07._NUMBER.match(line), line
 
 
