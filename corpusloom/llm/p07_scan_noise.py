@@ -23,13 +23,14 @@ and line wrapping aren't noise.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ _NUMBER = re.compile(
 _TAIL_NUMBER = re.compile(r"^\s*\d{1,5}\s{2,}(?=\D)|(?<=\S)\s{2,}\d{1,5}\s*$")
 _COUNT_AT = 300_000
 _EDGE = 2
+_DOUBT = 10  # misreadings taken to stand in clean texts only, while few were seen
 
 # Glyphs that scanning confuses, each brought to one of its class.
 _PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"))
@@ -101,11 +103,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _beyond(share: Column, by_chance: float, n: Column, p: float) -> Column:
+    """Whether ``n`` cases reach a share above ``by_chance`` with a chance of at most ``p`` (Chernoff's bound)."""
+    if by_chance >= 1:
+        return F.lit(False)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - by_chance))).otherwise(0.0)
+    return (share > by_chance) & (n * (share * F.log(share / by_chance) + rest) >= -math.log(p))
+
+
 def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, clean_share: float = 0.6, forms: int = 60_000) -> dict[str, int]:
     """The supported forms and their counts.
 
     Supported is a form that is frequent and no rare variant within its skeleton, or one
-    that stands mostly in texts without other scan noise. ``forms`` bounds the table, most frequent first.
+    that stands mostly in texts without other scan noise. A rare variant of three letters or more
+    must stand there more often than chance gives it to any of so many misreadings: their
+    mean share of such texts is ``by_chance``. ``forms`` bounds the table, most frequent first.
     """
     words = (
         texts.mapInArrow(_counts, "form string, skeleton string, n bigint, clean bigint")
@@ -115,7 +127,12 @@ def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, cl
     best = words.groupBy("skeleton").agg(F.max("n").alias("most"))
     frequent = (F.col("n") >= least) & (F.col("n") * ratio > F.col("most"))
     ordinary = F.col("clean") >= F.greatest(F.lit(4), clean_share * F.col("n"))
-    kept = words.join(best, "skeleton").where(frequent | ordinary)
+    words = words.join(best, "skeleton")
+    rare = (F.col("n") * ratio <= F.col("most")) & (F.length("form") >= 3)
+    share = F.col("clean") / F.col("n")
+    seen = words.where(rare).agg(F.count("*").alias("count"), F.coalesce(F.sum(share), F.lit(0.0)).alias("shares")).first()
+    by_chance = (_DOUBT + seen["shares"]) / (_DOUBT + seen["count"])
+    kept = words.where(frequent | (ordinary & (~rare | _beyond(share, by_chance, F.col("n"), 0.01 / (1 + seen["count"])))))
     return {r.form: r.n for r in kept.orderBy(F.desc("n"), "form").select("form", "n").limit(forms).collect()}
 
 

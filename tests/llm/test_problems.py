@@ -219,6 +219,21 @@ def test_p7_headers_and_fragments(spark):
     assert "Quarterly" not in text and "Guide" not in text and text.count("in order") == 5
 
 
+def test_p7_rare_misreading_on_clean_pages(spark):
+    prose = "the page reader keeps the manifest in order and the table writes the number again"
+    clean = [(f"n{k}", 1, 0, f"{prose} for part {k}.") for k in range(100)]
+    scanned = [("r", k, -1, f"{prose.replace('manifest', 'rnanifest')} in {k}.") for k in range(6)]
+    words = [("i", k, 0, f"{prose} del modo {'dei casi' * (k < 70)} del caso del piano {'del modo ' * 10}.") for k in range(80)]
+    noise = [("x", k, -1, f"{prose.replace('reader', 'rcader').replace('number', 'nurnber')}.\n\n{k}") for k in range(1, 6)]
+    noise += [("x", k, -1, f"{prose.replace('table', w)}.\n\n{k}") for k, w in enumerate(["tahle", "tablc", "fable", "tabie", "fahle", "fablc"] * 6, 6)]
+    noise += [("x", k, -1, f"{prose.replace('again', w)}.\n\n{k}") for k, w in enumerate(["agaln", "aga1n", "9gain"] * 4, 50)]
+    pages = spark.createDataFrame(clean + scanned + words + noise, "document_id string, page_number int, part int, text string")
+    known = p07.frequent_forms(pages.select("text"))
+    found = {tuple(r) for r in p07.noisy_pages(p07.page_noise(pages, known)[0]).collect()}
+    assert {("r", k) for k in range(6)} <= found
+    assert not any(d == "i" or d[0] == "n" for d, _ in found)  # dei beside the far more frequent del is a word
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=25))
 def test_p8_histogram(histogram):
