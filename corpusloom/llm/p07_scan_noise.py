@@ -10,8 +10,9 @@ also a Roman one, are page numbers. A scanned page is stored whole, so documents
 weren't scanned. Words broken over a line end are joined if the whole is a known
 word. Paragraphs are then continued over page ends with SQL windows.
 
-Scale: words are counted in the tasks before they are shuffled; the frequent forms, a
-table of at most ``forms`` words, go to the tasks; of the pages, only edge lines are
+Scale: words are counted in the tasks before they are shuffled; the frequent forms go to the
+tasks if they were counted as at most ``forms`` words, else each text is joined with those that share
+a skeleton with its words; of the pages, only edge lines are
 shuffled, and counted with map-side combining. The windows of the repair
 run over blocks of pages, and a second window over the blocks, so a document with a third
 of all pages is spread over many tasks.
@@ -26,7 +27,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import xxhash
@@ -111,13 +113,13 @@ def _beyond(share: Column, by_chance: float, n: Column, p: float) -> Column:
     return (share > by_chance) & (n * (share * F.log(share / by_chance) + rest) >= -math.log(p))
 
 
-def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, clean_share: float = 0.6, forms: int = 60_000) -> dict[str, int]:
+def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, clean_share: float = 0.6, forms: int = 60_000) -> dict[str, int] | DataFrame:
     """The supported forms and their counts.
 
     Supported is a form that is frequent and no rare variant within its skeleton, or one
     that stands mostly in texts without other scan noise. A rare variant of three letters or more
     must stand there more often than chance gives it to any of so many misreadings: their
-    mean share of such texts is ``by_chance``. ``forms`` bounds the table, most frequent first.
+    mean share of such texts is ``by_chance``. More than ``forms`` come as a table (form, skeleton, n).
     """
     words = (
         texts.mapInArrow(_counts, "form string, skeleton string, n bigint, clean bigint")
@@ -133,7 +135,9 @@ def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, cl
     seen = words.where(rare).agg(F.count("*").alias("count"), F.coalesce(F.sum(share), F.lit(0.0)).alias("shares")).first()
     by_chance = (_DOUBT + seen["shares"]) / (_DOUBT + seen["count"])
     kept = words.where(frequent | (ordinary & (~rare | _beyond(share, by_chance, F.col("n"), 0.01 / (1 + seen["count"])))))
-    return {r.form: r.n for r in kept.orderBy(F.desc("n"), "form").select("form", "n").limit(forms).collect()}
+    kept = kept.select("form", "skeleton", "n")
+    few = kept.limit(forms + 1).collect()
+    return {r.form: r.n for r in few} if len(few) <= forms else checkpoint(kept)
 
 
 class Reader:
@@ -204,6 +208,39 @@ class Reader:
         return "".join(out) + text[at:]
 
 
+def looked_up(text: str) -> set[str]:
+    """The forms that a reader of a text looks up, or whose skeletons it does: words, broken words and their parts."""
+    words = {t.lower() for t in _TOKEN.findall(text)} | set(_TOKEN.findall(text.lower()))
+    for m in _BROKEN.finditer(text) if _HYPHEN_END.search(text) else ():
+        words.update(x.lower() for x in (m.group(1), m.group(3), m.group(1) + m.group(3)))
+    return words
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [(key, s) for key, text in zip(*(c.to_pylist() for c in batch.columns)) for s in {skeleton(w) for w in looked_up(text)}]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["key", "skeleton"])
+
+
+def with_forms(texts: DataFrame, known: dict[str, int] | DataFrame) -> DataFrame:
+    """``texts`` with the supported forms that each may need as a last column, where they are a table."""
+    if isinstance(known, dict):
+        return texts
+    keyed = texts.withColumn("key", F.md5("text"))
+    wanted = keyed.select("key", "text").mapInArrow(_skeletons, "key string, skeleton string").distinct()
+    listed = wanted.join(known, "skeleton").groupBy("key").agg(F.collect_list(F.struct("form", "n")).alias("forms"))
+    return keyed.join(listed, "key", "left").select(*texts.columns, "forms")
+
+
+def _sent(known: dict[str, int] | DataFrame) -> dict[str, int] | None:
+    return known if isinstance(known, dict) else None
+
+
+def _readers(fixed: Reader | None, columns: list[list]) -> Iterator[Reader]:
+    """A reader for each row: the fixed one, or one of the row's own forms."""
+    return repeat(fixed) if fixed else (Reader({x["form"]: x["n"] for x in forms or ()}) for forms in columns[-1])
+
+
 def mask(line: str) -> str:
     """A line as it compares with the same header on another page."""
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", skeleton_text(_TAIL_NUMBER.sub("", line)))).strip()
@@ -234,13 +271,14 @@ def edge_lines(text: str) -> list[str]:
 _FEATURES = "document_id string, page_number int, look bigint, broken boolean, misread int, sure boolean, numbered boolean, edges array<string>"
 
 
-def _features(known: dict[str, int]):
+def _features(known: dict[str, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(known)
+        fixed = None if known is None else Reader(known)
         for batch in batches:
-            docs, pages, texts = (c.to_pylist() for c in batch.columns)
+            values = [c.to_pylist() for c in batch.columns]
+            docs, pages, texts = values[:3]
             look, broken, misread, sure, numbered, edges = [], [], [], [], [], []
-            for page, text in zip(pages, texts):
+            for page, text, reader in zip(pages, texts, _readers(fixed, values)):
                 lines = edge_lines(text)
                 look.append(xxhash.xxh3_64_intdigest(text) >> 1)
                 broken.append(reader.broken(text))
@@ -263,14 +301,14 @@ def page_texts(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return spread(a.unionByName(b).where("document_id is not null and page_number is not null and text is not null"))
 
 
-def page_noise(pages: DataFrame, known: dict[str, int], *, header_share: float = 0.25, whole_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def page_noise(pages: DataFrame, known: dict[str, int] | DataFrame, *, header_share: float = 0.25, whole_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Noise of each page, and the headers of each document as (document_id, line).
 
     ``whole`` is the share of a document's pages that stand as one text; only documents stored by
     the page (at least ``whole_share``) have headers, as the edges of a chunk are no edges of a page.
     """
     src = pages.select("document_id", "page_number", "text")
-    per = checkpoint(src.mapInArrow(_features(known), _FEATURES))
+    per = checkpoint(with_forms(src, known).mapInArrow(_features(_sent(known)), _FEATURES))
     page = per.groupBy("document_id", "page_number").agg(
         (F.min("look") == F.max("look")).alias("one"),
         F.max("broken").alias("broken"), F.max("misread").alias("misread"), F.max("sure").alias("sure"), F.max("numbered").alias("numbered"),
@@ -304,32 +342,62 @@ def noisy_pages(noise: DataFrame, *, whole_share: float = 0.8) -> DataFrame:
 
 
 _PARAGRAPHS = "document_id string, page_number int, paragraphs array<string>"
+_EDITED = "document_id string, page_number int, text string, lines array<string>"
 
 
-def _repaired(known: dict[str, int]):
+def _stripped(reader: Reader, page: int, text: str, drop: set[str]) -> str:
+    edges = set(edge_lines(text))
+    return "\n".join(
+        x for x in text.split("\n")
+        if not (x.strip() in edges and (_NUMBER.match(x.strip()) or not drop.isdisjoint(header_keys(x.strip(), page))))
+    )
+
+
+def _joined(reader: Reader, page: int, text: str, drop: set[str]) -> str:
+    return reader.joined(text)
+
+
+def _corrected(reader: Reader, page: int, text: str, drop: set[str]) -> str:
+    return reader.corrected(text)
+
+
+def _edited(known: dict[str, int] | None, *steps: Callable[[Reader, int, str, set[str]], str], split: bool = False):
+    """The texts after these steps, as they are or split into paragraphs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(known)
+        fixed = None if known is None else Reader(known)
         for batch in batches:
-            docs, pages, texts, headers = (c.to_pylist() for c in batch.columns)
+            values = [c.to_pylist() for c in batch.columns]
+            docs, pages, texts, headers = values[:4]
             out = []
-            for page, text, known_headers in zip(pages, texts, headers):
-                drop = set(known_headers or ())
-                edges = set(edge_lines(text))
-                lines = [
-                    x for x in text.split("\n")
-                    if not (x.strip() in edges and (_NUMBER.match(x.strip()) or not drop.isdisjoint(header_keys(x.strip(), page))))
-                ]
-                whole = reader.corrected(reader.joined("\n".join(lines)))
-                out.append([p for p in (re.sub(r"\s+", " ", x).strip() for x in re.split(r"\n\s*\n", whole)) if p])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.string()), pa.array(pages, pa.int32()), pa.array(out, pa.list_(pa.string()))],
-                ["document_id", "page_number", "paragraphs"],
-            )
+            for page, text, lines, reader in zip(pages, texts, headers, _readers(fixed, values)):
+                for step in steps:
+                    text = step(reader, page, text, set(lines or ()))
+                out.append(text)
+            columns = [pa.array(docs, pa.string()), pa.array(pages, pa.int32())]
+            if split:
+                found = [[p for p in (re.sub(r"\s+", " ", x).strip() for x in re.split(r"\n\s*\n", text)) if p] for text in out]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], ["document_id", "page_number", "paragraphs"])
+            else:
+                columns += [pa.array(out, pa.string()), pa.array(headers, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["document_id", "page_number", "text", "lines"])
 
     return run
 
 
-def repaired_paragraphs(pages: DataFrame, noise: DataFrame, headers: DataFrame, known: dict[str, int], *, block: int = 64) -> DataFrame:
+def _page_paragraphs(texts: DataFrame, known: dict[str, int] | DataFrame) -> DataFrame:
+    """The repaired paragraphs of (document_id, page_number, text, lines).
+
+    As each step changes the words, a table of forms is joined anew for the next one.
+    """
+    if isinstance(known, dict):
+        return texts.mapInArrow(_edited(known, _stripped, _joined, _corrected, split=True), _PARAGRAPHS)
+    texts = texts.mapInArrow(_edited({}, _stripped), _EDITED)
+    texts = with_forms(texts, known).mapInArrow(_edited(None, _joined), _EDITED)
+    return with_forms(texts, known).mapInArrow(_edited(None, _corrected, split=True), _PARAGRAPHS)
+
+
+def repaired_paragraphs(pages: DataFrame, noise: DataFrame, headers: DataFrame, known: dict[str, int] | DataFrame, *, block: int = 64) -> DataFrame:
     """(document_id, first_page, paragraph, text): the paragraphs of documents with noisy pages, continued over page ends."""
     scanned = noisy_pages(noise).select("document_id").distinct()
     mine = pages.join(scanned, "document_id")
@@ -344,8 +412,7 @@ def repaired_paragraphs(pages: DataFrame, noise: DataFrame, headers: DataFrame,
     )
     listed = headers.groupBy("document_id").agg(F.collect_set("line").alias("lines"))  # a few for each document
     done = (
-        texts.join(listed, "document_id", "left").select("document_id", "page_number", "text", "lines")
-        .mapInArrow(_repaired(known), _PARAGRAPHS)
+        _page_paragraphs(texts.join(listed, "document_id", "left").select("document_id", "page_number", "text", "lines"), known)
         .select("document_id", "page_number", F.posexplode("paragraphs").alias("at", "text"))
     )
     place = F.struct("page_number", "at")

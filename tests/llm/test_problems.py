@@ -234,6 +234,25 @@ def test_p7_rare_misreading_on_clean_pages(spark):
     assert not any(d == "i" or d[0] == "n" for d, _ in found)  # dei beside the far more frequent del is a word
 
 
+def test_p7_more_forms_than_go_to_the_tasks(spark):
+    prose = "the page reader keeps every number in order and the page reader writes the number again"
+    clean = [(f"n{k}", 1, 0, f"{prose} for part {k}, uncommon tally.") for k in range(30)]
+    scanned = [
+        ("s", 1, -1, "Annual Report\nthe page rea-\nder keeps an uncornmon tal-\n1"), ("s", 2, -1, "Annual Report\nly of evcry number, UNCORNMON tal-\nly again.\n\n2"),
+        ("s", 3, -1, "Annual Report\nan nncommon tallv and half-\nquiet uncomrnon pages.\n\n3"), ("t", 1, -1, "one tbe uncornmon page"),
+    ]
+    pages = spark.createDataFrame(clean + scanned, "document_id string, page_number int, part int, text string")
+    out = []
+    for forms in (60_000, 3):
+        known = p07.frequent_forms(pages.select("text"), forms=forms)
+        noise, headers = p07.page_noise(pages, known)
+        paragraphs = p07.repaired_paragraphs(pages, noise, headers, known, block=2)
+        out.append([sorted(tuple(r) for r in x.collect()) for x in (p07.noisy_pages(noise), headers, paragraphs)])
+    assert isinstance(known, p07.DataFrame)
+    assert out[0] == out[1]
+    assert ("t", 1) in out[1][0] and "UNCOMMON tally again" in " ".join(r[3] for r in out[1][2])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=25))
 def test_p8_histogram(histogram):
