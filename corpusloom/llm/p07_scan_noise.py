@@ -2,7 +2,7 @@
 
 Method: words are grouped by their confusable-glyph skeleton (``rn`` and ``m``, ``1``
 and ``l``, ``c`` and ``e``); the frequent form of a group is the supported one, and a
-rare form of it, seen in a text, is a misreading. Lines at the top and foot of the pages
+rare form that differs from it glyph by glyph, seen in a text, is a misreading. Lines at the top and foot of the pages
 of one document, with digits masked and glyphs reduced to their skeleton, that
 come again on other pages are running headers, also where left and right pages differ, and
 so are lines with a number set apart that runs on with the pages; lines of a bare number,
@@ -59,16 +59,57 @@ _EDGE = 2
 _DOUBT = 10  # misreadings taken to stand in clean texts only, while few were seen
 
 # Glyphs that scanning confuses, each brought to one of its class.
-_PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"))
 _SINGLES = str.maketrans({"0": "o", "1": "i", "!": "i", "|": "i", "l": "i", "ı": "i", "5": "s", "9": "g", "6": "h", "8": "h", "b": "h", "e": "c", "f": "t", "2": "z"})
+_SPELLED = str.maketrans({"m": "rn", "w": "vv", "d": "ci", "u": "ii", "h": "ii"})
+_PAIRS = {"rn": "m", "vv": "w", "cl": "d", "c1": "d", "c!": "d", "c|": "d"}
 
 
 def skeleton(word: str) -> str:
-    s = word.lower()
-    for a, b in _PAIRS:
-        s = s.replace(a, b)
-    s = s.translate(_SINGLES)
-    return s.replace("ii", "u").replace("h", "u")
+    """The same for all words that differ by confused glyphs: single glyphs first, then those like two spelled out."""
+    return word.lower().translate(_SINGLES).translate(_SPELLED)
+
+
+def _glyphs(word: str, at: int) -> list[tuple[int, str]]:
+    """What stands at a place of a word, read as one glyph or as one that looks like two: (end, glyph)."""
+    one = word[at].translate(_SINGLES)
+    found = [(at + 1, "u" if one == "h" else one)]
+    two = word[at : at + 2]
+    if two in _PAIRS:
+        found.append((at + 2, _PAIRS[two]))
+    elif two.translate(_SINGLES) == "ii":
+        found.append((at + 2, "u"))
+    return found
+
+
+def confusable(a: str, b: str) -> bool:
+    """Whether two words of one skeleton differ glyph by glyph, so not by a swap (talbe) or confusions of confusions (che, die)."""
+    ends, done = [(0, 0)], set()
+    while ends:
+        i, j = ends.pop()
+        if (i, j) in done:
+            continue
+        done.add((i, j))
+        if i == len(a) or j == len(b):
+            if i == len(a) and j == len(b):
+                return True
+            continue
+        ends += [(k, m) for k, x in _glyphs(a, i) for m, y in _glyphs(b, j) if x == y]
+    return False
+
+
+def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the forms of each skeleton, the count of the most frequent one confusable with it."""
+    for batch in batches:
+        rows = []
+        for s, forms in zip(*(c.to_pylist() for c in batch.columns)):
+            forms.sort(key=lambda x: -x["n"])
+            for x in forms:
+                most = next(y["n"] for y in forms if y is x or confusable(x["form"], y["form"]))
+                rows.append((x["form"], s, x["n"], x["clean"], most))
+        columns = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["form", "skeleton", "n", "clean", "most"]
+        )
 
 
 def marred(text: str) -> bool:
@@ -125,11 +166,11 @@ def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, cl
         texts.mapInArrow(_counts, "form string, skeleton string, n bigint, clean bigint")
         .groupBy("form", "skeleton").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
     )
-    words = checkpoint(words.where(F.col("n") >= 4))
-    best = words.groupBy("skeleton").agg(F.max("n").alias("most"))
+    words = words.where(F.col("n") >= 4)
+    alike = words.groupBy("skeleton").agg(F.collect_list(F.struct("form", "n", "clean")).alias("forms"))
     frequent = (F.col("n") >= least) & (F.col("n") * ratio > F.col("most"))
     ordinary = F.col("clean") >= F.greatest(F.lit(4), clean_share * F.col("n"))
-    words = words.join(best, "skeleton")
+    words = checkpoint(alike.mapInArrow(_most, "form string, skeleton string, n bigint, clean bigint, most bigint"))
     rare = (F.col("n") * ratio <= F.col("most")) & (F.length("form") >= 3)
     share = F.col("clean") / F.col("n")
     seen = words.where(rare).agg(F.count("*").alias("count"), F.coalesce(F.sum(share), F.lit(0.0)).alias("shares")).first()
@@ -145,16 +186,16 @@ class Reader:
 
     def __init__(self, known: dict[str, int]):
         self.known = known
-        self.best: dict[str, str] = {}
-        for w in sorted(known, key=lambda w: (known[w], w)):
-            self.best[skeleton(w)] = w  # the most frequent comes last
+        self.alike: dict[str, list[str]] = {}
+        for w in sorted(known, key=lambda w: (known[w], w), reverse=True):
+            self.alike.setdefault(skeleton(w), []).append(w)  # the most frequent comes first
 
     def misread(self, token: str) -> str | None:
         """The supported form that a token is a misreading of."""
         low = token.lower()
         if len(low) < 2 or low in self.known or not _LETTERS.search(low) or _TWO_SCRIPTS.search(low):
             return None
-        good = self.best.get(skeleton(low))
+        good = next((w for w in self.alike.get(skeleton(low), ()) if confusable(low, w)), None)
         if good is None or good == low or (not low.isalpha() and sum(map(str.isalpha, low)) < len(low) / 2):
             return None
         if token[0].isupper() or (token.isupper() and len(token) > 1):

@@ -234,6 +234,17 @@ def test_p7_rare_misreading_on_clean_pages(spark):
     assert not any(d == "i" or d[0] == "n" for d, _ in found)  # dei beside the far more frequent del is a word
 
 
+def test_p7_skeleton_is_closed():
+    pairs = [("modcl", "model"), ("coliimn", "column"), ("voliime", "volume"), ("rcloading", "reloading"), ("dclays", "delays"), ("c1ient", "client"),
+             ("sclección", "selección"), ("rnanifest", "manifest"), ("tbink", "think"), ("vvord", "word"), ("clate", "date"), ("uumher", "number")]
+    for bad, good in pairs[:-1]:
+        assert p07.skeleton(bad) == p07.skeleton(good) and p07.Reader({good: 100}).misread(bad) == good, bad
+    assert p07.Reader({"number": 100}).misread("uumher") is None
+    for typo, word in (("talbe", "table"), ("recbie", "recibe"), ("qiuet", "quiet"), ("che", "die")):
+        assert p07.Reader({word: 100}).misread(typo) is None, typo
+    assert p07.Reader({"die": 900, "client": 100, "del": 50}).misread("dcl") == "del"
+
+
 def test_p7_more_forms_than_go_to_the_tasks(spark):
     prose = "the page reader keeps every number in order and the page reader writes the number again"
     clean = [(f"n{k}", 1, 0, f"{prose} for part {k}, uncommon tally.") for k in range(30)]
