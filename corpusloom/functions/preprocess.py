@@ -107,13 +107,12 @@ _CAPITALISED = r"^\p{Lu}"
 def smart_lowercase(c: Column) -> Column:
     """Lower case but for words in capitals and capitalised words within a sentence."""
     words = tokens(c)
+    before = F.concat(F.array(F.lit(".")), words)  # each word's word before; one more than words, which the join leaves out
 
-    def one(w: Column, i: Column) -> Column:
-        before = F.try_element_at(words, i)  # one-based: the word before
-        starts = (i == 0) | F.coalesce(before.rlike(r"[.!?]$"), F.lit(False))
-        return F.when(w.rlike(_CAPS) | (w.rlike(_CAPITALISED) & ~starts), w).otherwise(F.lower(w))
+    def one(w: Column, before: Column) -> Column:
+        return F.when(w.rlike(_CAPS) | (w.rlike(_CAPITALISED) & ~before.rlike(r"[.!?]$")), w).otherwise(F.lower(w))
 
-    return F.array_join(F.transform(words, one), " ")
+    return F.array_join(F.zip_with(words, before, one), " ")
 
 
 def collapse_whitespace(c: Column, preserve_paragraphs: bool = True) -> Column:
@@ -190,19 +189,20 @@ class Settings:
 
 
 def preset(level: str = "standard", text_type: str = "general") -> Settings:
+    """The steps of a level; ``custom`` starts from the standard ones."""
     s = Settings()
     if level == "minimal":
-        s = replace(s, urls=False, emails=False, phones=False, punctuation=False)
+        s = replace(s, urls=False, emails=False)
     elif level == "aggressive":
-        s = replace(s, citations=True, code=True, contractions=True, lower_case=True, accents=True)
-    elif level != "standard":
+        s = replace(s, citations=True, code=True, contractions=True, lower_case=True)
+    elif level not in ("standard", "custom"):
         raise ValueError(f"unknown level {level}")
     if text_type == "academic":
-        s = replace(s, citations=True)
+        s = replace(s, citations=False, smart_case=s.lower_case, lower_case=False)
     elif text_type == "code":
-        s = replace(s, code=False, punctuation=False)
+        s = replace(s, code=False, punctuation=False, lower_case=False)
     elif text_type == "social_media":
-        s = replace(s, contractions=True)
+        s = replace(s, contractions=True, punctuation=True)
     return s
 
 

@@ -1,5 +1,7 @@
 """Small exact cases and invariants of the core operators."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,8 @@ from corpusloom.functions import preprocess as P
 from corpusloom.functions import text as T
 from corpusloom.functions import tokens as K
 from corpusloom.operators import chunking, embedding, embedding_quality, filters, search, store
+from corpusloom.plans import text_queries
+from corpusloom.runtime import table
 from corpusloom.sources import pages
 
 TEXT = st.text(alphabet="ab .!?\nAB", max_size=400)
@@ -42,6 +46,50 @@ def test_contractions_and_case(spark):
     assert one(spark, "The NASA probe. Saw Mars", P.smart_lowercase) == "the NASA probe. saw Mars"
 
 
+MESSY = (
+    "Él Café of NASA. It\'s at https://e.org/a or a.b@e.org, call 555-123-4567!!! See [1, 2] (Smith et al., 2020) and `x = 1`... "
+    "Don\'t  ask The Reader."
+)
+
+
+def by_hand(text, level, text_type):
+    """The preset\'s steps one by one, by the reference\'s values."""
+    aggressive = level == "aggressive"
+    if level != "minimal":
+        text = re.sub(P.EMAIL, " [EMAIL] ", re.sub(P.URL, " [URL] ", text))
+    text = re.sub(P.PHONE, " [PHONE] ", text)
+    if aggressive and text_type != "academic":
+        text = re.sub(P.CITATION, "", text)
+    if aggressive and text_type != "code":
+        text = re.sub(P.CODE, " [CODE] ", text)
+    if text_type != "code":
+        text = re.sub(P.PUNCTUATION, ".", text)
+    if aggressive or text_type == "social_media":
+        text = " ".join({"It's": "it is'", "Don\'t": "do not\'"}.get(w, w) for w in text.split())
+    if aggressive and text_type == "academic":
+        words = text.split()
+        starts = [k == 0 or words[k - 1][-1] in ".!?" for k in range(len(words))]
+        text = " ".join(w if re.fullmatch("[A-Z]{2,}", w) or (w[0].isupper() and not at) else w.lower() for w, at in zip(words, starts))
+    elif aggressive and text_type != "code":
+        text = text.lower()
+    return re.sub(r"\s{2,}", " ", text).strip()
+
+
+@pytest.mark.parametrize("level", ["minimal", "standard", "aggressive", "custom"])
+def test_presets(spark, level):
+    types = ["general", "academic", "technical", "legal", "medical", "code", "news", "social_media", "conversational"]
+    row = spark.createDataFrame([(MESSY,)], "t string").select(*[P.preprocess(F.col("t"), P.preset(level, t)).alias(t) for t in types]).first()
+    assert row.asDict() == {t: by_hand(MESSY, level, t) for t in types}
+    with pytest.raises(ValueError):
+        P.preset("none")
+
+
+def test_preset_queries_give_every_column(spark, small):
+    rows = text_queries.preprocess_aggressive(spark, small).collect()
+    docs = {r.doc_id: r.text for r in table(spark, small, "documents").select("doc_id", "text").collect()}
+    assert {r.doc_id for r in rows} == set(docs) and all((r.hash is None) == (docs[r.doc_id] is None) for r in rows)
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
 def test_chunkers_slice_the_text(text):
