@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import words_of
-from corpusloom.runtime import checkpoint, spread
+from corpusloom.runtime import checkpoint, collect_small, spread
 
 #: name of each statistic and the direction that leads away from prose (0: both)
 STATISTICS = {
@@ -153,7 +153,7 @@ def _statistics(frequent: FrequentWords):
 
 def text_statistics(records: DataFrame, common_words: DataFrame, *, id_col: str = "id", text_col: str = "content", document_col: str = "document_id") -> DataFrame:
     """(id, document_id, lang, chars, words, ...) of all texts that aren't blank."""
-    rows = [(r.lang, r.word) for r in common_words.select("lang", "word").where("word is not null").limit(20_000).collect()]  # small fixed table
+    rows = [(r.lang, r.word) for r in collect_small(common_words.select("lang", "word").where("word is not null"), 20_000)]
     numbers = ", ".join(f"{n} double" for n in NAMES)
     src = records.select(F.col(id_col).cast("string"), F.col(document_col).cast("string"), F.col(text_col))
     return spread(src).mapInArrow(_statistics(FrequentWords(rows)), f"id string, document_id string, lang string, chars int, words int, {numbers}")

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.p06_encoding import restore
-from corpusloom.runtime import spread
+from corpusloom.runtime import collect_small, spread
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 PROFILE = 400
@@ -152,7 +152,7 @@ def label_language(label: Column) -> Column:
 
 def fit_profiles(records: DataFrame, common_words: DataFrame, *, text_col: str, label_col: str, id_col: str, sample_rows: int = 300) -> Profiles:
     frequent: dict[str, set[str]] = {}
-    for r in common_words.select("lang", "word").limit(20_000).collect():  # a small fixed table
+    for r in collect_small(common_words.select("lang", "word"), 20_000):
         frequent.setdefault(r.lang, set()).add(r.word)
     counts = {lang: Counter() for lang in frequent}
     labelled = records.select(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import broadcast_if_small, checkpoint, shuffle_partitions, spread
+from corpusloom.runtime import broadcast_if_small, checkpoint, collect_small, shuffle_partitions, spread
 
 #: A public tokenizer's vocabulary file; it must be readable on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -186,7 +186,7 @@ def packed(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     ``sizes`` is (id, tokens). An item within the capacity is its one piece 0.
     """
     spark = sizes.sparkSession
-    packs = [(r.pack_id, r.capacity_tokens) for r in limits.select("pack_id", "capacity_tokens").distinct().limit(1000).collect()]  # small table
+    packs = [(r.pack_id, r.capacity_tokens) for r in collect_small(limits.select("pack_id", "capacity_tokens").distinct(), 1000)]
     for _, capacity in packs:
         if not capacity or not 1 <= capacity <= MAX_CAPACITY:
             raise ValueError(f"a capacity must be between 1 and {MAX_CAPACITY}")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import checkpoint, spread
+from corpusloom.runtime import checkpoint, collect_small, spread
 
 _MARK = r"(?:\.\.\.|\u2026|\[(?:\.\.\.|\u2026)\]|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]|<truncated>|\ufffd)"
 _CLOSERS = "[\"'\u201d\u2019\u00bb)\\]]*"
@@ -172,7 +172,7 @@ def truncated(
     plain = closings.select(F.col("line").alias("block"), F.col("n_end").alias("e1"), F.col("n_begin").alias("b1"))
     mask = closings.select(F.col("line").alias("masked"), F.col("n_end").alias("e2"), F.col("n_begin").alias("b2"))
     opener = begins.where("kind = 'first' and n >= 20").select(F.col("key").alias("first"), F.col("n").alias("n_first"))
-    common = [r.word for r in function_words.select("word").distinct().limit(10_000).collect()]  # a small fixed table
+    common = [r.word for r in collect_small(function_words.select("word").distinct(), 10_000)]
     function = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
     judged = (
         judged.join(at_limit, "id", "left").join(seen, "tail", "left").join(plain, "block", "left").join(mask, "masked", "left").join(opener, "first", "left")

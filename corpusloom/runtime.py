@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def collect_small(df: DataFrame, rows: int) -> list[Row]:
+    """All rows of a small table; more than ``rows`` are an error, as none may be dropped."""
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a table of ({', '.join(df.columns)}) has more than {rows} rows")
+    return found
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores when it comes from very few files; a larger table stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -291,6 +291,18 @@ def test_p8_assignment(spark, small):
     assert len({(r.pack_id, r.doc_id, r.piece) for r in rows}) == len(rows)
 
 
+def test_long_side_tables_are_refused(spark):
+    sizes = spark.createDataFrame([(1, 5)], "id long, tokens long")
+    with pytest.raises(ValueError, match="more than 1000 rows"):
+        p08.packed(sizes, spark.range(1001).selectExpr("cast(id as int) pack_id", "10 capacity_tokens"))
+    words = spark.range(20_001).selectExpr("'en' lang", "concat('w', id) word")
+    texts = spark.createDataFrame([("1", "d", "a text", "en")], "id string, document_id string, content string, label string")
+    with pytest.raises(ValueError, match="more than 20000 rows"):
+        p03.text_statistics(texts, words)
+    with pytest.raises(ValueError, match="more than 20000 rows"):
+        p05.fit_profiles(texts, words, text_col="content", label_col="label", id_col="id")
+
+
 def test_p8_edges(spark):
     sizes = spark.createDataFrame([(1, 0), (2, 5), (2, 5), (3, 25)], "id long, tokens long")
     limits = spark.createDataFrame([(1, 10)], "pack_id int, capacity_tokens int")
