@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,6 +115,67 @@ def test_p3_edges(spark):
     assert p03.measured_texts(df.limit(0), words).count() == 0
 
 
+def test_p3_contributions():
+    rng = np.random.default_rng(3)
+    mix = rng.normal(size=(6, 6))
+    fit = p03.ProseFit(rng.normal(size=6), mix @ mix.T + np.eye(6))
+    x = rng.normal(size=(50, 6)) * 5
+    parts, z = fit.contributions(x), x - fit.mean
+    assert (parts >= 0).all()
+    assert np.allclose(parts.sum(axis=1), np.einsum("ij,jk,ik->i", z, np.linalg.inv(fit.covariance), z))
+
+
+def test_p3_chi_square():
+    for share, degrees, want in ((0.95, 1, 3.8415), (0.99, 6, 16.8119), (0.999999, 6, 38.2583), (0.5, 2, 1.3863)):
+        assert abs(p03.chi_square_quantile(share, degrees) - want) < 1e-3
+        assert abs(p03.chi_square(want, degrees) - share) < 1e-5
+
+
+def test_p3_nearest_sums_are_moments():
+    rng = np.random.default_rng(4)
+    x, v = rng.normal(size=(400, 6)), rng.random((400, 6))
+    a, b = np.triu_indices(6)
+    rows = np.column_stack([np.ones(400), x, x[:, a] * x[:, b], v])
+    fit = p03._estimate(p03._nearest(np.add.reduceat(rows, [0, 100, 250]), 1.0))
+    assert np.allclose(fit.mean, x.mean(axis=0)) and np.allclose(fit.covariance, np.cov(x.T, bias=True) + np.diag(v.mean(axis=0)))
+    half = p03._nearest(np.add.reduceat(rows, [0, 100, 250]), 0.25)
+    assert np.allclose(half, rows[:100].sum(axis=0))
+
+
+def test_p3_fit_decides(spark):
+    """The same texts are judged by what prose is among them: the mean and covariance fitted to it, not fixed numbers."""
+    common = spark.createDataFrame([("en", w) for w in "the of and to in is that for on with".split()], "lang string, word string")
+    random.seed(8)
+    nouns = [f"{a}{b}" for a in ("page", "record", "index", "letter", "table", "folder") for b in ("", "s", "ed", "ing", "list")]
+
+    def prose(marks):
+        parts = []
+        for _ in range(random.randint(2, 9)):
+            words = [random.choice(nouns) if k % 3 else random.choice("the of and to in is that for on with".split()) for k in range(random.randint(8, 16))]
+            for k in range(len(words)):
+                if random.random() < marks:
+                    words[k] += " §"
+            parts.append(" ".join(words).capitalize() + ".")
+        return " ".join(parts)
+
+    lists = [(f"l{k}", "d", "\n".join("- " + " ".join(random.sample(nouns, 2)) for _ in range(12))) for k in range(60)]
+    marked = [(f"m{k}", "d", prose(0.1)) for k in range(5)]
+    found = {}
+    for marks in (0.0, 0.1):
+        plain = [(f"p{k}", "d", prose(marks)) for k in range(200)]
+        df = spark.createDataFrame(plain + lists + marked, "id string, document_id string, content string")
+        statistics = p03.text_statistics(df, common).cache()
+        fits = p03.fit_prose(statistics)
+        found[marks] = {r.id for r in p03.not_prose(p03.distances(statistics, fits)).collect()}
+        assert {i for i, _, _ in lists} <= found[marks] and not any(i[0] == "p" for i in found[marks])
+        round_ = {g: p03.ProseFit(f.mean, np.eye(6) * np.trace(f.covariance) / 6) for g, f in fits.items()}
+        loose = {r.id for r in p03.not_prose(p03.distances(statistics, round_)).collect()}
+        if not marks:  # with one spread for all statistics, the rare symbols don't tell
+            assert found[marks] - loose >= {i for i, _, _ in marked}
+        statistics.unpersist()
+    assert {i for i, _, _ in marked} <= found[0.0] and not {i for i, _, _ in marked} & found[0.1]
+
+
 def test_p4_pairs(spark):
     rows = [
         ("a", "The ﬁle café - one"), ("b", "The file café ‐ one"), ("c", "Ｔhe fil​e café - оne"),
