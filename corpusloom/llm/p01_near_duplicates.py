@@ -8,11 +8,13 @@ independent. Runs of ``rows`` bins are hashed into bands; records that share a
 band are candidates; candidates are verified exactly on their shingle sets.
 
 Scale: equal word sequences are one class, and a task emits the bands of a class once,
-so a hot group of copies costs a few rows; bands are joined on their hash by a
-sort-merge join that adaptive execution may split when a band is hot; shingles
-never leave a task, and whole texts travel only for the verification of candidates.
+so a hot group of copies costs a few rows; the bands' partitions grow in number with
+them. Bands that many classes share are told by a sample of the classes by their hash, which changes no result, and cut
+into blocks that meet two by two (``pairs.py``), so that no task holds a hot band; copies of
+a hot class are paired in the same way. Shingles never leave a task, and whole texts travel
+only for the verification of candidates.
 
-Defined results: a null, empty or shorter text than ``min_words`` has no class and
+Defined results: a null, empty or shorter text than ``min_words`` has no class (null) and
 no partner; repeated rows of one id count once; an empty table gives no rows; other
 columns are ignored.
 """
@@ -27,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import pairs
 from corpusloom.llm.words import WordHasher, mix, shingle_hashes, words_of
 from corpusloom.runtime import broadcast_if_small, checkpoint, spread
 
@@ -34,6 +37,8 @@ _LOW = np.uint64((1 << 48) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FEW = 256  # records sketched together
 _SEEN = 1_000_000  # classes a task remembers; forgetting them costs repeated bands, no result
+_ROWS = 250_000  # bands in a partition
+_SIEVE = 32  # one class in so many is looked at for hot bands
 
 
 def fast_similarity_sketch(hashes: np.ndarray, owner: np.ndarray, count: int, bins: int) -> np.ndarray:
@@ -74,15 +79,19 @@ def _sketcher(width: int, min_words: int, rows: int, bands: int):
         for batch in batches:
             all_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), _FEW):
-                ids, classes, flat, sizes = [], [], [], []
+                ids, classes, flat, sizes, without = [], [], [], [], []
                 for i, text in zip(all_ids[at : at + _FEW], texts[at : at + _FEW]):
                     words = words_of(text)
                     if len(words) < min_words:
+                        without.append(i)
                         continue
                     ids.append(i)
                     classes.append(xxhash.xxh3_128_digest(" ".join(words)))
                     flat += hasher(words)
                     sizes.append(len(words))
+                if without:
+                    none = [pa.nulls(len(without), t) for t in (pa.binary(), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(without, pa.string()), *none], ["id", "class_key", "bands"])
                 if not ids:
                     continue
                 owner = np.repeat(np.arange(len(ids)), sizes)
@@ -144,7 +153,7 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sequences and the verified links between classes.
 
-    Returns ``members(id, class_key)`` and ``links(class_a, class_b, similarity)``
+    Returns ``members(id, class_key)`` of all ids and ``links(class_a, class_b, similarity)``
     with ``class_a < class_b``. The defaults suit five-word shingles at 0.8;
     the chance to miss a pair of similarity ``s`` is ``(1 - s**rows)**bands``.
     """
@@ -155,16 +164,17 @@ def near_duplicates(
     members = sketched.select("id", "class_key").distinct()
     # 64 bits stand for the class in the bands; the full key comes back with the text.
     short = F.xxhash64("class_key")
-    banded = (
-        sketched.select(short.alias("short"), F.explode("bands").alias("band"))
-        .repartition("band")
-        .dropDuplicates(["band", "short"])
+    banded = sketched.select(short.alias("short"), F.explode("bands").alias("band"))
+    sieved = banded.where(F.pmod("short", F.lit(_SIEVE)) == 0).groupBy("band").agg((F.lit(_SIEVE) * F.count_distinct("short")).alias("n"))
+    hot = checkpoint(pairs.hot_groups(sieved, "band"))
+    partitions = max(sketched.sparkSession.sparkContext.defaultParallelism, sketched.where("bands is not null").count() * bands // _ROWS)
+    celled = (
+        pairs.in_cells(banded, "band", "short", hot)
+        .repartition(partitions, "band", "cell")
+        .dropDuplicates(["band", "cell", "short"])
     )
-    left, right = banded.toDF("short_a", "band"), banded.toDF("short_b", "band")
-    pairs = checkpoint(
-        left.join(right.hint("merge"), "band").where("short_a < short_b").select("short_a", "short_b").distinct()
-    )
-    wanted = checkpoint(pairs.select(F.explode(F.array("short_a", "short_b")).alias("short")).distinct())
+    candidates = checkpoint(pairs.cell_pairs(celled, "band", "short").select("short_a", "short_b").distinct())
+    wanted = checkpoint(candidates.select(F.explode(F.array("short_a", "short_b")).alias("short")).distinct())
     chosen = checkpoint(
         sketched.select("id", "class_key", short.alias("short"))
         .join(broadcast_if_small(wanted), "short")
@@ -178,7 +188,7 @@ def near_duplicates(
         .select("short", "class_key", "text")
     )
     links = (
-        pairs.join(texts.toDF("short_a", "key_a", "text_a"), "short_a")
+        candidates.join(texts.toDF("short_a", "key_a", "text_a"), "short_a")
         .join(texts.toDF("short_b", "key_b", "text_b"), "short_b")
         .select(
             F.least("key_a", "key_b").alias("class_a"),
@@ -193,13 +203,12 @@ def near_duplicates(
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs of ids in linked classes or in one class, smaller id first."""
+    members = members.where("id is not null and class_key is not null")
     a, b = members.toDF("id_x", "class_a"), members.toDF("id_y", "class_b")
     across = links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("id_x", "id_y")
-    repeated = members.groupBy("class_key").agg(F.count("*").alias("n")).where("n > 1").select("class_key")
-    copies = members.join(repeated, "class_key")
-    within = (
-        copies.toDF("class_key", "id_x").join(copies.toDF("class_key", "id_y"), "class_key").where("id_x < id_y").select("id_x", "id_y")
-    )
+    sizes = checkpoint(members.groupBy("class_key").agg(F.count("*").alias("n")).where("n > 1"))
+    copies = pairs.in_cells(members.join(broadcast_if_small(sizes.select("class_key")), "class_key"), "class_key", "id", pairs.hot_groups(sizes, "class_key"))
+    within = pairs.cell_pairs(copies, "class_key", "id").select(F.col("id_a").alias("id_x"), F.col("id_b").alias("id_y"))
     return across.unionByName(within).select(
         F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")
     ).distinct()
@@ -230,12 +239,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, class_id, group_id, links): one row for each record that has a class.
+    """(id, class_id, group_id, links): one row for each record; those too short for a class have neither it nor links.
 
     ``class_id`` is that of its word sequence, ``group_id`` that of all classes it is
     linked to, directly or through others; ``links`` counts the other records linked to it.
     """
-    sizes = members.groupBy("class_key").agg(F.count("*").alias("n"))
+    sizes = members.where("class_key is not null").groupBy("class_key").agg(F.count("*").alias("n"))
     ends = links.select("class_a", "class_b").unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     degree = ends.join(sizes.toDF("class_b", "m"), "class_b").groupBy("class_a").agg(F.sum("m").alias("m")).withColumnRenamed("class_a", "class_key")
     per_class = (
@@ -243,4 +252,4 @@ def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
         .select("class_key", F.hex("class_key").alias("class_id"), F.hex(F.coalesce("root", "class_key")).alias("group_id"),
                 (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
     )
-    return members.join(per_class, "class_key").select("id", "class_id", "group_id", "links")
+    return members.join(per_class, "class_key", "left").select("id", "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
