@@ -1,17 +1,20 @@
 """Problem 10: text cut off by field limits.
 
-Method: per source and measure (characters, bytes, and both without a mark of the
-cut), a histogram of the lengths of texts without terminal punctuation; a length that
-holds far more texts than its neighbourhood is a limit of that source, and the
-texts at it are cut. Cuts in transfer fall at any length, so the last line is judged
-as well: prose without its end, a line ending in a function word or in a broken
+Method: per source, column and measure (characters, bytes, and both without a mark of the
+cut), a histogram of the lengths of different texts without terminal punctuation. A length is a limit of that source
+if it holds more texts than chance gives to one of so many lengths: the lengths of about the same
+size say how many to expect, Chernoff's bound how likely more are, and the number of lengths tested is
+allowed for. The texts at a limit are cut. Cuts in transfer fall at any length, so the
+last line is judged as well, and reported apart: prose without its end, a line ending in a function word or in a broken
 word, an unfinished entry in a list of sentences, or an open end before a blank is cut; a closing line that
-many documents share, a title, a table row or a list entry is complete.
+other documents share, a title, a table row or a list entry is complete.
 
-Scale: the histograms, the closing lines and the vocabulary are aggregates with
-map-side combining; only texts without terminal punctuation are joined to them, by
-keys that pre-aggregation made unique, so a source with a third of all rows costs
-no more than its lengths.
+Scale: one map reduces each text without terminal punctuation to its lengths, its last words and what
+its last line looks like; texts aren't shuffled. A second map counts, within the tasks first, how often
+these last words stand elsewhere, as words, as first words of blocks and as beginnings of
+longer blocks. The words looked for go to the tasks if they are few, else all are counted and the join selects.
+Every document looks its words up as rows of (kind, word), so that documents without one take no part and a word that
+ends many is met by unique counts.
 
 Defined results: null and blank texts aren't cut; a null source is a source of its
 own; repeated rows give one result; an empty table gives none.
@@ -23,102 +26,165 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import checkpoint, collect_small, spread
+from corpusloom.runtime import broadcast_if_small, checkpoint, collect_small, spread
 
-_MARK = r"(?:\.\.\.|\u2026|\[(?:\.\.\.|\u2026)\]|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]|<truncated>|\ufffd)"
-_CLOSERS = "[\"'\u201d\u2019\u00bb)\\]]*"
-_TERMINAL = rf"[.!?\u3002\uff01\uff1f]{_CLOSERS}$"
-_MARKER = r"^\s*(?:[-*\u2022\u25aa\u2013\u2014\u00b7+]|\d+[.)]|\[\d+\]|[a-z]\))\s+"
-_BUILT = r"\t|\||;\S|\S {3,}\S|^ {2,}|[{}<=\\]|\S>|\(.*\):|^\d{4}-\d{2}-\d{2}|\u00bb|^[\w.-]{2,}:(?:\s|$)|^--|^#|,(?:[\w./-]*[A-Za-z][\w./-]*|-)(?:,|$)|(?:,[\w./-]+){2,}$|^\S*/\S*$|\.{4,}"
+_BLANKS = " \t\r\n\u00a0"
+_MARK = re.compile(r"\s*(?:\.\.\.|\u2026|\[(?:\.\.\.|\u2026)\]|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]|<truncated>|\ufffd)$")
+_TERMINAL = re.compile("[.!?\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\\]]*$")
+_MARKER = re.compile(r"\s*(?:[-*\u2022\u25aa\u2013\u2014\u00b7+]|\d+[.)]|\[\d+\]|[a-z]\))\s+")
+_BUILT = re.compile(
+    r"\t|\||;\S|\S {3,}\S|^ {2,}|[{}<=\\]|\S>|\(.*\):|^\d{4}-\d{2}-\d{2}|\u00bb|^[\w.-]{2,}:(?:\s|$)|^--|^#|,(?:[\w./-]*[A-Za-z][\w./-]*|-)(?:,|$)|(?:,[\w./-]+){2,}$|^\S*/\S*$|\.{4,}",
+    re.A,
+)
 _FEW_WORDS = 6
 _TAIL = 40  # characters looked at for a mark or an end
 _COUNT_AT = 300_000
+_SOUGHT = 200_000  # words that go to the tasks
 _LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f'\u2019])+")
+_LAST_WORD = re.compile("(?:^|[\\s'\u2019\u201c(])([^\\W\\d_]+)$")
+_DIGITS = re.compile(r"\d+")
 _BLANK = re.compile(r"\n\s*\n")
 
 
-def _last(parts: Column) -> Column:
-    return F.element_at(parts, -1)
+def core_of(text: str) -> tuple[str, str]:
+    """A text without blanks at its end, and also without a mark of a cut."""
+    trimmed = text.rstrip(_BLANKS)
+    return trimmed, trimmed[:-_TAIL] + _MARK.sub("", trimmed[-_TAIL:])
 
 
-def _spikes(open_ends: DataFrame, least: int, factor: float) -> DataFrame:
-    """(source, measure, at) of the lengths that are limits."""
-    sizes = open_ends.select("source", F.explode(_measures()).alias("m")).select("source", "m.measure", "m.at")
-    counted = sizes.groupBy("source", "measure", "at").agg(F.count("*").alias("n"))
-    # a band of lengths about each candidate; both sides are histograms, one row a length
-    band = F.floor(F.log(F.greatest(F.col("at"), F.lit(2))) / F.log(F.lit(1.25)))
-    by_band = counted.groupBy("source", "measure", band.alias("band")).agg(F.sum("n").alias("all"), F.count("*").alias("lengths"))
-    one = F.pow(F.lit(1.25), F.col("band"))
-    return (
-        counted.where(F.col("n") >= least)
-        .withColumn("band", band)
-        .join(by_band, ["source", "measure", "band"])
-        .where(F.col("n") >= factor * ((F.col("all") - F.col("n")) / F.greatest(F.lit(1.0), 0.25 * one) + 0.1))
-        .select("source", "measure", "at")
-    )
+def masked(words: list[str]) -> str:
+    """Digits as 0 and the first of several words as X: closing lines differ only there."""
+    out = [_DIGITS.sub("0", w) for w in words]
+    return " ".join(["X", *out[1:]] if len(out) > 1 else out)
+
 
+_LENGTHS = ("chars", "bytes", "chars without mark", "bytes without mark")
+_FLAGS = ("marked", "blank_after", "short", "built", "title", "upper", "wordy", "dangling", "unfinished")
+_KEYS = ("tail", "first", "line", "mask")  # what is looked up
 
-def _measures() -> Column:
-    def m(name: str, at: Column) -> Column:
-        return F.struct(F.lit(name).alias("measure"), at.cast("long").alias("at"))
 
-    return F.array(
-        m("chars", F.length("text")), m("bytes", F.octet_length("text")),
-        m("chars without mark", F.length("core")), m("bytes without mark", F.octet_length("core")),
+def _ending(text: str, trimmed: str, core: str, function: frozenset[str]) -> tuple:
+    """Lengths, flags and words of an open end."""
+    at = core.rfind("\n")
+    line = core[at + 1 :]
+    before = core[core.rfind("\n", 0, max(0, at)) + 1 : at] if at >= 0 else ""
+    block = _BLANK.split(core)[-1].split()
+    words = _WORDS.findall(" ".join(block))
+    n = len(words)
+    last = _LAST_WORD.search(line)
+    tail = last.group(1) if last and last.group(1)[0].islower() else None
+    listed = bool(_MARKER.match(line))
+    whole = " ".join(block)
+    short = len(block) <= _FEW_WORDS
+    flags = (
+        core != trimmed, text != trimmed, short and n <= _FEW_WORDS, listed or bool(_BUILT.search(line)),
+        not any(w[0].islower() for w in words) and n <= 8, whole.upper() == whole and n > 8,
+        any(w.lower() in function for w in words), tail is not None and tail.lower() in function,
+        listed and bool(_MARKER.match(before)) and bool(_TERMINAL.search(before)),
     )
+    lengths = (len(text), len(text.encode("utf-8", "surrogatepass")), len(core), len(core.encode("utf-8", "surrogatepass")))
+    keys = (tail, block[0] if block else None, whole if short else None, masked(block) if short else None)
+    return (xxhash.xxh3_64_intdigest(core) >> 1, *lengths, *flags, *keys)
 
 
-def _masked(block: Column) -> Column:
-    """Digits as 0 and the first word as X: closing lines differ only there."""
-    return F.regexp_replace(F.regexp_replace(block, r"\d+", "0"), r"^\S+(?=\s)", "X")
-
-
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of what texts hold: words before their last one, and the first words of blocks, as (kind, key, n)."""
-    counts: dict[tuple[str, str], int] = {}
-
-    def flush() -> pa.RecordBatch:
-        kinds, keys = zip(*counts) if counts else ((), ())
-        batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "key", "n"])
-        counts.clear()
-        return batch
-
-    for batch in batches:
-        for core in batch.column(0).to_pylist():
-            words = _LETTERS.findall(core)
-            if words and core.endswith(words[-1]):
-                words.pop()
-            for w in set(words):
-                counts["word", w] = 1
-            for block in _BLANK.split(core):
-                ws = block.split(maxsplit=_FEW_WORDS)
-                if ws:
-                    counts["first", ws[0]] = counts.get(("first", ws[0]), 0) + 1
-                for k in range(1, len(ws)):
-                    start = " ".join(ws[:k])
-                    counts["start", start] = counts.get(("start", start), 0) + 1
-        if len(counts) > _COUNT_AT:
-            yield flush()
-    yield flush()
-
-
-def _closings(begins: DataFrame, open_ends: DataFrame) -> DataFrame:
-    """Short last blocks, with how often they end a text and how often they begin a longer block."""
-    short = F.size(F.split("block", r"\s+")) <= _FEW_WORDS
-    ends = (
-        open_ends.where(short)
-        .select(F.xxhash64("core").alias("look"), F.explode(F.array("block", _masked(F.col("block")))).alias("line"))
-        .groupBy("line").agg(F.count_distinct("look").alias("n_end"))
+def open_ends(texts: DataFrame, function_words: frozenset[str]) -> DataFrame:
+    """(id, source, column, look, lengths, flags, keys) of the texts without terminal punctuation, from (id, source, column, text)."""
+    kinds = [pa.int64()] * (1 + len(_LENGTHS)) + [pa.bool_()] * len(_FLAGS) + [pa.string()] * len(_KEYS)
+    names = ["look", *[f"m{k}" for k in range(len(_LENGTHS))], *_FLAGS, *_KEYS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, rows = [], []
+            for k, text in enumerate(batch.column(3).to_pylist()):
+                if text and text.strip():
+                    trimmed, core = core_of(text)
+                    if not _TERMINAL.search(core[-_TAIL:]):
+                        kept.append(k)
+                        rows.append(_ending(text, trimmed, core, function_words))
+            columns = list(zip(*rows)) or [()] * len(names)
+            place = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(place) for c in range(3)], *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["id", "source", "column", *names]
+            )
+
+    schema = f"id {dict(texts.dtypes)['id']}, source string, column string, look bigint, " + ", ".join(
+        [*[f"m{k} bigint" for k in range(len(_LENGTHS))], *[f"{f} boolean" for f in _FLAGS], *[f"{k} string" for k in _KEYS]]
     )
-    starts = (
-        begins.where("kind = 'start'")
-        .select("n", F.explode(F.array("key", _masked(F.col("key")))).alias("line"))
-        .groupBy("line").agg(F.sum("n").alias("n_begin"))
+    return spread(texts).mapInArrow(run, schema).dropDuplicates(["id", "column"])
+
+
+def limits(ends: DataFrame, chance: float) -> DataFrame:
+    """(source, column, measure, at) of the lengths that hold more different texts than chance gives to any."""
+    measures = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"m{k}").alias("at")) for k, name in enumerate(_LENGTHS)]))
+    sizes = ends.select("source", "column", "look", measures.alias("m")).select("source", "column", "look", "m.measure", "m.at").distinct()
+    of = ["source", "column", "measure"]
+    counted = sizes.groupBy(*of, "at").agg(F.count("*").alias("n"))
+    # lengths of about the same size: a quarter of the octave, less the length itself
+    band = F.floor(F.log(F.greatest(F.col("at"), F.lit(2))) / F.log(F.lit(1.25)))
+    wide = F.greatest(F.lit(1.0), 0.25 * F.pow(F.lit(1.25), F.col("band")))
+    by_band = counted.groupBy(*of, band.alias("band")).agg(F.sum("n").alias("all"), F.count("*").alias("lengths"))
+    tests = by_band.groupBy(*of).agg(F.sum("lengths").alias("tests"))
+    n = F.col("n")
+    expected = (F.col("all") - n + 1) / wide
+    surprise = n * F.log(n / expected) - n + expected  # -log of the bound on the chance of n or more
+    return (
+        counted.withColumn("band", band).join(broadcast_if_small(by_band), [*of, "band"]).join(broadcast_if_small(tests), of)
+        .where((n > expected) & (surprise > F.log(F.col("tests") / F.lit(chance))))
+        .select(*of, "at")
     )
-    return ends.join(starts, "line", "left").select("line", "n_end", F.coalesce("n_begin", F.lit(0)).alias("n_begin"))
+
+
+def _elsewhere(sought: dict[str, set[str]] | None):
+    """Counts of what texts hold, as (kind, key, n): words before their last one, first words of blocks of some length, and beginnings of longer blocks."""
+    wanted = sought or {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = {}
+        tails, firsts, lines, masks = (wanted.get(k) for k in _KEYS)
+
+        def add(kind: str, key: str) -> None:
+            counts[kind, key] = counts.get((kind, key), 0) + 1
+
+        def flush() -> pa.RecordBatch:
+            kinds, keys = zip(*counts) if counts else ((), ())
+            batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "key", "n"])
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                core = core_of(text)[1]
+                words = _LETTERS.findall(core)
+                if words and core.endswith(words[-1]):
+                    words.pop()
+                for w in set(words) if tails is None else tails.intersection(words):
+                    counts["tail", w] = 1
+                for block in _BLANK.split(core):
+                    ws = block.split(maxsplit=_FEW_WORDS + 1)
+                    if len(ws) > _FEW_WORDS and (firsts is None or ws[0] in firsts):
+                        add("first", ws[0])
+                    for k in range(1, min(len(ws), _FEW_WORDS + 1)):
+                        start = " ".join(ws[:k])
+                        if lines is None or start in lines:
+                            add("line", start)
+                        if masks is None or (mask := masked(ws[:k])) in masks:
+                            add("mask", masked(ws[:k]) if masks is None else mask)
+            if len(counts) > _COUNT_AT:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def _looked_up(ends: DataFrame) -> DataFrame:
+    """(id, column, kind, key) of what each end looks up."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in _KEYS])
+    return ends.select("id", "column", "look", F.explode(F.filter(pairs, lambda x: x["key"].isNotNull())).alias("p")).select("id", "column", "look", "p.kind", "p.key")
 
 
 def truncated(
@@ -126,87 +192,69 @@ def truncated(
     function_words: DataFrame,
     *,
     id_col: str = "doc_id",
-    text_col: str = "text",
+    text_cols: tuple[str, ...] = ("text",),
     source_col: str = "source",
-    least: int = 5,
-    factor: float = 8.0,
+    chance: float = 1e-3,
+    opening: float = 3.0,
 ) -> DataFrame:
-    """(id, source, at_limit, why) of the cut texts.
+    """(id, column, source, at_limit, why) of the cut texts; ``at_limit`` are those found by the histograms, the others by their last line.
 
-    ``least``: texts that a limit must hold; ``factor``: times the texts that the
-    neighbouring lengths let expect.
+    ``chance``: how likely a source without limits may have one found; ``opening``: how many times
+    more blocks than ends a word begins that opens sentences.
     """
-    docs = records.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source"), F.col(text_col).alias("text")
-    ).where(F.col("text").rlike(r"\S"))
-    trimmed = F.rtrim("text", F.lit(" \t\r\n\u00a0"))
-    docs = docs.withColumn("trimmed", trimmed).withColumn("body", F.greatest(F.length("trimmed") - _TAIL, F.lit(0)))
-    tail = F.regexp_replace(F.expr(f"substring(trimmed, body + 1, {_TAIL})"), rf"\s*{_MARK}$", "")
-    docs = docs.withColumn("core", F.concat(F.expr("substring(trimmed, 1, body)"), tail)).withColumn("marked", F.col("core") != F.col("trimmed"))
-    opened = docs.where(~F.right("core", F.lit(_TAIL)).rlike(_TERMINAL)).dropDuplicates(["id"])
-    lines = F.split("core", "\n")
-    open_ends = checkpoint(
-        opened.select(
-            "id", "source", "text", "trimmed", "core", "marked",
-            _last(lines).alias("line"),
-            F.element_at(F.array_union(F.array(F.lit("")), F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 1)), -1).alias("before"),
-            F.regexp_replace(F.trim(_last(F.split("core", r"\n\s*\n"))), r"\s+", " ").alias("block"),
-        )
-    )
-    limits = _spikes(open_ends, least, factor)
-    at_limit = (
-        open_ends.select("id", "source", F.explode(_measures()).alias("m"))
-        .select("id", "source", "m.measure", "m.at")
-        .join(limits, ["source", "measure", "at"])
-        .groupBy("id").agg(F.min(F.struct("measure", "at")).alias("limit"))
-    )
-    words = F.regexp_extract_all(F.col("block"), F.lit(r"([\p{L}\p{M}'\u2019]+)"), 1)
-    tail = F.regexp_extract("line", r"(?:^|[\s'\u2019\u201c(])(\p{Ll}\p{L}*)$", 1)
-    judged = open_ends.withColumns({"words": words, "tail": tail, "masked": _masked(F.col("block")), "first": F.split("block", " ")[0]})
+    column = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in text_cols])).alias("c")
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source")
+    texts = records.select(F.col(id_col).alias("id"), source, column).select("id", "source", "c.column", "c.text").where(F.col("text").rlike(r"\S"))
+    common = frozenset(r.word for r in collect_small(function_words.select("word").where("word is not null").distinct(), 10_000))
+    ends = checkpoint(open_ends(texts, common))
+    looked = checkpoint(_looked_up(ends))
+    # how many different texts end so
+    ending = checkpoint(looked.groupBy("kind", "key").agg(F.count_distinct("look").alias("ends")))
+    sought = ending.select("kind", "key").limit(_SOUGHT + 1).collect()
+    wanted = {k: {r.key for r in sought if r.kind == k} for k in _KEYS} if len(sought) <= _SOUGHT else None
+    elsewhere = spread(texts.select("text")).mapInArrow(_elsewhere(wanted), "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    known = checkpoint(ending.join(elsewhere, ["kind", "key"], "left").select("kind", "key", "ends", F.coalesce("n", F.lit(0)).alias("n")))
 
-    begins = checkpoint(
-        spread(docs.select("core")).mapInArrow(_beginnings, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    )
-    seen = begins.where("kind = 'word'").select(F.col("key").alias("tail"), F.lit(True).alias("seen"))
-    closings = checkpoint(_closings(begins, open_ends))
-    plain = closings.select(F.col("line").alias("block"), F.col("n_end").alias("e1"), F.col("n_begin").alias("b1"))
-    mask = closings.select(F.col("line").alias("masked"), F.col("n_end").alias("e2"), F.col("n_begin").alias("b2"))
-    opener = begins.where("kind = 'first' and n >= 20").select(F.col("key").alias("first"), F.col("n").alias("n_first"))
-    common = [r.word for r in collect_small(function_words.select("word").distinct(), 10_000)]
-    function = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
-    judged = (
-        judged.join(at_limit, "id", "left").join(seen, "tail", "left").join(plain, "block", "left").join(mask, "masked", "left").join(opener, "first", "left")
+    def of(kind: str, found: Column) -> Column:
+        return F.max(F.when(F.col("kind") == kind, found)).alias(f"is_{kind}")
+
+    shared = (F.col("ends") >= 2) & (F.col("ends") >= F.col("n"))
+    per = (
+        looked.join(broadcast_if_small(known), ["kind", "key"]).groupBy("id", "column")
+        .agg(of("tail", F.col("n") > 0), of("first", F.col("n") > opening * F.col("ends")), of("line", shared), of("mask", shared))
     )
-    n = F.size("words")
-    built = F.col("line").rlike(_MARKER) | F.col("line").rlike(_BUILT)
-    listed = F.col("line").rlike(_MARKER)
-    closing = (n <= _FEW_WORDS) & (
-        ((F.col("e1") >= 2) & (F.col("e1") >= F.col("b1"))) | ((F.col("e2") >= 3) & (F.col("e2") >= F.col("b2")))
+    found = limits(ends, chance)
+    measures = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"m{k}").alias("at")) for k, name in enumerate(_LENGTHS)]))
+    at_limit = (
+        ends.select("id", "column", "source", measures.alias("m")).select("id", "column", "source", "m.measure", "m.at")
+        .join(broadcast_if_small(checkpoint(found)), ["source", "column", "measure", "at"])
+        .groupBy("id", "column").agg(F.lit(True).alias("at_limit"))
     )
-    no_lower = F.size(F.filter("words", lambda w: w.rlike(r"^\p{Ll}"))) == 0
-    title = no_lower & (n <= 8) & F.col("n_first").isNull()
-    upper = (F.upper("block") == F.col("block")) & (n > 8)
-    wordy = F.size(F.array_intersect(F.transform("words", F.lower), function)) > 0
-    broken = (F.col("tail") != "") & F.col("seen").isNull()
-    dangling = (F.col("tail") != "") & F.array_contains(function, F.lower("tail"))
-    unfinished = listed & F.col("before").rlike(_MARKER) & F.col("before").rlike(_TERMINAL)
+    judged = ends.join(per, ["id", "column"], "left").join(at_limit, ["id", "column"], "left")
+    yes = {k: F.coalesce(F.col(f"is_{k}"), F.lit(False)) for k in _KEYS}
+    limit = F.coalesce("at_limit", F.lit(False))
+    closing = F.col("short") & (yes["line"] | yes["mask"])
+    title = F.col("title") & ~yes["first"]
     why = (
         F.when(F.col("marked"), "mark")
-        .when(F.col("limit").isNotNull(), "limit")
-        .when(broken & ~closing, "broken word")
-        .when(dangling, "function word")
-        .when(unfinished, "unfinished entry")
-        .when((F.col("text") != F.col("trimmed")) & ~closing, "blank after an open end")
-        .when(~built & ~closing & ~title & (wordy | upper | F.col("n_first").isNotNull()), "prose")
+        .when(limit, "limit")
+        .when(F.col("tail").isNotNull() & ~yes["tail"] & ~closing, "broken word")
+        .when(F.col("dangling"), "function word")
+        .when(F.col("unfinished"), "unfinished entry")
+        .when(F.col("blank_after") & ~closing, "blank after an open end")
+        .when(~F.col("built") & ~closing & ~title & (F.col("wordy") | F.col("upper") | yes["first"]), "prose")
     )
-    return judged.select("id", "source", F.col("limit").isNotNull().alias("at_limit"), why.alias("why")).where("why is not null")
+    return judged.select("id", "column", "source", limit.alias("at_limit"), why.alias("why")).where("why is not null")
 
 
 def truncation_report(records: DataFrame, found: DataFrame, *, source_col: str = "source") -> DataFrame:
-    """Per source: texts, cut texts and their share."""
+    """Per source: texts, cut texts and their share; those at a limit and those told by their last line only, apart."""
     per = records.select(F.coalesce(F.col(source_col).cast("string"), F.lit("(none)")).alias("source")).groupBy("source").agg(F.count("*").alias("texts"))
-    cut = found.groupBy("source").agg(F.count("*").alias("cut"), F.sum(F.col("at_limit").cast("long")).alias("cut_at_limit"))
+    cut = found.groupBy("source").agg(
+        F.count_distinct("id").alias("cut"), F.count_distinct(F.when(F.col("at_limit"), F.col("id"))).alias("cut_at_limit")
+    )
+    none = F.lit(0)
     return per.join(cut, "source", "left").select(
-        "source", "texts", F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("cut_at_limit", F.lit(0)).alias("cut_at_limit"),
-        F.round(F.coalesce("cut", F.lit(0)) / F.col("texts"), 6).alias("share"),
+        "source", "texts", F.coalesce("cut", none).alias("cut"), F.coalesce("cut_at_limit", none).alias("cut_at_limit"),
+        (F.coalesce("cut", none) - F.coalesce("cut_at_limit", none)).alias("cut_by_last_line"), F.round(F.coalesce("cut", none) / F.col("texts"), 6).alias("share"),
     )
