@@ -9,12 +9,15 @@ within words are dear. The cheapest text reached replaces the run if it is cheap
 a margin and a decoding lies on its path.
 
 Runs of unusual characters and escapes are searched one by one (each task remembers
-the runs it has met, of which there are few); Cyrillic sentences, whose
-single-byte mix-ups leave only letters, are searched as a whole.
+the runs it has met, of which there are few); decoding and unescaping shorten a run, so the search ends when no
+new text can be reached. Cyrillic sentences and words of Latin letters that stand for Cyrillic ones,
+whose single-byte mix-ups only swap letters, are searched along all pairs of code pages. A further step
+must bring more the longer the path, so the search ends when even the plainest text at the next step
+would score worse than the best one found.
 
 Scale: a map over the rows, without a shuffle; plain ASCII without escapes is passed through.
 
-Defined results: null and empty texts aren't affected; U+FFFD is affected, and not
+Defined results: null and empty texts aren't affected; U+FFFD and what is left of a sequence that lost a byte are affected, and not
 restorable; a plain entity or escape without a wrong decoding isn't affected;
 repeated rows give repeated results.
 """
@@ -27,6 +30,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +54,7 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _REMNANT = re.compile(r"â€|â\u0080|‚Ä|ΓÇ|[ÃÂ](?=[^\w\s\"'’”)]|\s(?=[a-z])|$)|(?<=[a-z])[ÃÂ](?![A-ZÀ-Ý])|[├√](?=[^\s─-▟])|[\u0080-\u009f]")
 _COMMON = "‘’“”„‚–—…€•°¿¡«»™‐‑№" + "\u00a0\u00ad\u2009\u202f"
 _MARGIN = 0.9
-_STEPS = 60
+_PLAIN = 1.12  # what a letter costs on average in plain Russian, at most
 
 
 def _byte_map(page: str) -> dict[str, int]:
@@ -135,20 +139,16 @@ def _numeric(text: str) -> str:
     return re.sub(r"&#(12[89]|1[345]\d);", lambda m: chr(int(m.group(1))), text)
 
 
-def _search(start: str, steps, cost, depth: int) -> tuple[str, tuple[str, ...]]:
-    """Best-first search for the cheapest text; its path of operations."""
+def _search(start: str, steps, cost) -> tuple[str, tuple[str, ...]]:
+    """Best-first search for the cheapest text that can be reached; its path of operations."""
     seen = {start}
     queue = [(cost(start), 0, start, ())]
     best = queue[0]
     order = 0
-    for _ in range(_STEPS):
-        if not queue:
-            break
+    while queue:
         here = heapq.heappop(queue)
         if here[0] < best[0] - 1e-9:
             best = here
-        if len(here[3]) == depth:
-            continue
         for name, to in steps(here[2]):
             if to not in seen:
                 seen.add(to)
@@ -167,7 +167,7 @@ def _run_steps(text: str):
 
 @lru_cache(50_000)
 def restore_run(run: str) -> tuple[str, tuple[str, ...]]:
-    text, path = _search(run, _run_steps, run_cost, 5)
+    text, path = _search(run, _run_steps, run_cost)
     if any(">" in p for p in path) and run_cost(text) <= run_cost(run) - _MARGIN and all(_char_cost(c) <= 1.7 or c in run for c in text):
         return text, path
     return run, ()
@@ -204,46 +204,109 @@ def _transcoded(text: str, a: str, b: str) -> str:
     return "".join(out)
 
 
-def _pairs(wrong: tuple[str, ...], right: tuple[str, ...]):
-    def steps(text: str):
-        for a in wrong:
-            for b in right:
-                if a != b:
-                    yield f"{a}>{b}", _transcoded(text, a, b)
-
-    return steps
-
-
-_TO_LATIN = _pairs(CYRILLIC_PAGES, LATIN_PAGES)
-_FROM_LATIN = _pairs(LATIN_PAGES, CYRILLIC_PAGES)
-_WITHIN_CYRILLIC = _pairs(CYRILLIC_PAGES, CYRILLIC_PAGES)
 _LATIN_RANK = {c: k / 20 for k, c in enumerate(WESTERN)}
 _LOOKALIKE = set("АВЕЅІЈКМНОРСТУХаеорсухіѕј")
 #: Cyrillic letters inside Latin words, short ones on their own, and a sign before an amount
 _STRAY = re.compile(r"(?<=[A-Za-zÀ-ÿ])[\u0400-\u04ff]+|[\u0400-\u04ff]+(?=[A-Za-zÀ-ÿ])|(?<![\u0400-\u04ff])[\u0400-\u04ff\u2500-\u259f]{1,2}(?![\u0400-\u04ff])|[\u0402](?=\d)")
-_WEST_WORDS = re.compile(r"[^\x00-\x7f\s]*[À-ÿ]{4}[^\x00-\x7f]*(?:[\s,.;:–—-]+[^\x00-\x7f\s]+)*")
+_PAGES = (*CYRILLIC_PAGES, *LATIN_PAGES)
+_SWAPS = tuple((a, b) for a in _PAGES for b in _PAGES if a != b)
+_ALPHABET = "".join(sorted({c for page in _PAGES for c in _TO_BYTE[page]}))
+_PLACE = {c: k for k, c in enumerate(_ALPHABET)}
+_MOVES = np.array([[_PLACE[_transcoded(c, a, b)] for c in _ALPHABET] for a, b in _SWAPS], np.int32)
+#: words of unusual characters that Latin pages have, but for dashes, quotation marks and the like
+_LATIN_SIGNS = "".join(sorted({c for page in LATIN_PAGES for c in _TO_BYTE[page]} - set(_COMMON)))
+_WEST_WORDS = re.compile(rf"[^\x00-\x7f\s]*[{re.escape(_LATIN_SIGNS)}]{{4}}[^\x00-\x7f]*(?:[\s,.;:–—-]+[^\x00-\x7f\s]+)*")
+_STRETCH = re.compile(r"[^\x00-\x7f]+(?:[\s,.;:-]+[^\x00-\x7f]+)*")
+_ODD = re.compile(rf"[{re.escape(_LATIN_SIGNS)}]{{4}}")
 
 
 def _western_cost(text: str) -> float:
     return sum(_LATIN_RANK.get(c, 4.0) for c in text if ord(c) > 127)
 
 
+def _cost_table(cost) -> np.ndarray:
+    """What each character of the alphabet costs at the begin of a word and within one."""
+    return np.array([[cost(c) for c in _ALPHABET], [cost("я" + c) - cost("я") for c in _ALPHABET]])
+
+
+class Swaps:
+    """Best-first search along single-byte mix-ups, which take each character to another whatever stands beside it.
+
+    A path of d steps is taken if the cost falls below ``first * further ** (d - 1)`` of what it was. ``plain`` is what a letter costs in
+    the plainest text, so that no path goes on that couldn't be taken any more; a text of at most ``good`` a letter comes before all others.
+    """
+
+    def __init__(self, cost, plain: float, good: float, first: float, further: float):
+        self.table, self.plain, self.good, self.first, self.further = _cost_table(cost), plain, good, first, further
+
+    def trust(self, steps: int) -> float:
+        return self.first * self.further ** (steps - 1) if steps else 1.0
+
+    def __call__(self, text: str) -> tuple[str, tuple[str, ...]]:
+        met: dict[tuple[int, int], int] = {}
+        before = ""
+        for c in text:
+            if c in _PLACE:
+                key = (_PLACE[c], int(before.isalpha()))
+                met[key] = met.get(key, 0) + 1
+            before = c
+        if not met:
+            return text, ()
+        at, inside = np.array(list(met), np.int32).T
+        count = np.array(list(met.values()))
+        least, order = self.plain * count.sum(), 0
+        score = float((self.table[inside, at] * count).sum())
+        best: tuple[float, tuple[int, ...]] = (score, ())
+        other = best
+        seen = {at.tobytes()}
+        queue = [(score, 0, at, ())]
+        while queue:
+            _, _, at, path = heapq.heappop(queue)
+            steps = len(path) + 1
+            if least / self.trust(steps) >= min(best[0], other[0]):
+                continue
+            after = _MOVES[:, at]
+            costs = (self.table[inside, after] * count).sum(axis=1)
+            scores = costs / self.trust(steps)
+            for op in np.argsort(scores, kind="stable"):
+                key = after[op].tobytes()
+                if key in seen:
+                    continue
+                seen.add(key)
+                if scores[op] < best[0] - 1e-9 and costs[op] <= self.good * count.sum():
+                    best = (float(scores[op]), (*path, int(op)))
+                elif scores[op] < other[0] - 1e-9:
+                    other = (float(scores[op]), (*path, int(op)))
+                if least / self.trust(steps + 1) < min(best[0], other[0]):
+                    order += 1
+                    heapq.heappush(queue, (float(scores[op]), order, after[op], (*path, int(op))))
+        found = best[1] or other[1]
+        for op in found:
+            text = _transcoded(text, *_SWAPS[op])
+        return text, tuple(">".join(_SWAPS[op]) for op in found)
+
+
+_AS_RUSSIAN = Swaps(letters_cost, 0.9, 1.25, 0.75, 0.65)
+_AS_WESTERN = Swaps(_western_cost, 0.5, 2.0, 1.0, 0.1)  # a few strays don't tell more than one step
+
+
 def _restore_letters(text: str) -> tuple[str, tuple[str, ...]]:
     """Single-byte mix-ups: they turn letters into other letters, one for one."""
     paths: tuple[str, ...] = ()
     if _CYRILLIC.search(text) and re.search("[A-Za-z]", text):
         stray = "".join(_STRAY.findall(text))
         if stray and not set(stray) <= _LOOKALIKE and len(stray) > 0.3 * len(_CYRILLIC.findall(text)):
-            out, path = _search(stray, _TO_LATIN, _western_cost, 1)
+            out, path = _AS_WESTERN(stray)
             if path and _western_cost(out) <= 2.0 * len(stray):
-                page, to = path[0].split(">")
-                text = _STRAY.sub(lambda m: _transcoded(m.group(), page, to), text)
+                text = _STRAY.sub(lambda m: _swapped(m.group(), path), text)
                 paths += path
 
     def western(m: re.Match) -> str:
         nonlocal paths
         s = m.group()
-        out, path = _search(s, _FROM_LATIN, letters_cost, 1)
+        if len(set(s)) < 4:
+            return s  # a ruled line
+        out, path = _AS_RUSSIAN(s)
         n = len(_CYRILLIC.findall(out))
         if path and n >= 4 and letters_cost(out) < 1.6 * n:
             paths += path
@@ -257,22 +320,50 @@ def _restore_letters(text: str) -> tuple[str, tuple[str, ...]]:
         before = letters_cost(s)
         if n < 4 or before < 1.35 * n:
             return s
-        out, path = _search(s, _WITHIN_CYRILLIC, letters_cost, 1)
-        if path and letters_cost(out) < 0.75 * before:
+        out, path = _AS_RUSSIAN(s)
+        if path and letters_cost(out) < _AS_RUSSIAN.trust(len(path)) * before:
             paths += path
             return out
         return s
 
-    text = _WEST_WORDS.sub(western, text)
+    def stretch(m: re.Match) -> str:
+        if not _ODD.search(m.group()):
+            return m.group()
+        out = western(m)
+        return out if out != m.group() else _WEST_WORDS.sub(western, out)  # only a part of it may be garbled
+
+    text = _STRETCH.sub(stretch, text)
     if _CYRILLIC.search(text):
         text = _SENTENCE.sub(sentence, text)
     return text, paths
 
 
+def _swapped(text: str, path: tuple[str, ...]) -> str:
+    for step in path:
+        text = _transcoded(text, *step.split(">"))
+    return text
+
+
 def restore(text: str) -> tuple[str, tuple[str, ...], bool]:
     """The restored text, the operations on the way, and whether the text was affected."""
     if text.isascii() and "&" not in text and "\\" not in text:
         return text, (), False
+    fixed, path = _restore_runs(text)
+    if _CYRILLIC.search(fixed) or _ODD.search(fixed):
+        swapped, ops = _restore_letters(fixed)
+        n = len(_CYRILLIC.findall(swapped))
+        if path and n and letters_cost(swapped) > _PLAIN * n:  # what looked like sequences of bytes may have been letters
+            first, ops_first = _restore_letters(text)
+            other, path_other = _restore_runs(first)
+            if ops_first and letters_cost(other) < letters_cost(swapped):
+                swapped, path, ops = other, ops_first, path_other
+        fixed, path = swapped, (*path, *ops)
+    path = tuple(dict.fromkeys(path))
+    affected = bool(path) or "\ufffd" in fixed or bool(_REMNANT.search(fixed))
+    return fixed, path, affected
+
+
+def _restore_runs(text: str) -> tuple[str, tuple[str, ...]]:
     path: dict[str, None] = {}
 
     def one(m: re.Match) -> str:
@@ -280,12 +371,7 @@ def restore(text: str) -> tuple[str, tuple[str, ...], bool]:
         path.update(dict.fromkeys(ops))
         return out
 
-    fixed = _RUN.sub(one, text)
-    if _CYRILLIC.search(fixed) or re.search("[À-ÿ]{4}", fixed):
-        fixed, ops = _restore_letters(fixed)
-        path.update(dict.fromkeys(ops))
-    affected = bool(path) or "�" in fixed or bool(_REMNANT.search(fixed))
-    return fixed, tuple(path), affected
+    return _RUN.sub(one, text), tuple(path)
 
 
 _RESTORED = "id bigint, affected boolean, restored string, operations array<string>"
