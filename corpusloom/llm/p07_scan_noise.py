@@ -1,8 +1,9 @@
 """Problem 7: noise in text from scanned pages.
 
 Method: words are grouped by their confusable-glyph skeleton (``rn`` and ``m``, ``1``
-and ``l``, ``c`` and ``e``); the frequent form of a group is the supported one, and a
-rare form that differs from it glyph by glyph, seen in a text, is a misreading. Lines at the top and foot of the pages
+and ``l``, ``c`` and ``e``); the frequent forms of a group are the supported ones, and a
+rare form that differs from one glyph by glyph, seen in a text, is a misreading. Where several supported
+forms fit it, the one that stands most often beside the same neighbours in the corpus takes its place. Lines at the top and foot of the pages
 of one document, with digits masked and glyphs reduced to their skeleton, that
 come again on other pages are running headers, also where left and right pages differ, and
 so are lines with a number set apart that runs on with the pages; lines of a bare number,
@@ -181,23 +182,38 @@ def frequent_forms(texts: DataFrame, *, least: int = 12, ratio: float = 12.0, cl
     return {r.form: r.n for r in few} if len(few) <= forms else checkpoint(kept)
 
 
+def _beside(matches: list[re.Match], k: int) -> tuple[str, str]:
+    """The words before and after a word."""
+    return matches[k - 1].group().lower() if k else "", matches[k + 1].group().lower() if k + 1 < len(matches) else ""
+
+
 class Reader:
     """Judges and repairs pages against the supported forms."""
 
     def __init__(self, known: dict[str, int]):
         self.known = known
         self.alike: dict[str, list[str]] = {}
-        for w in sorted(known, key=lambda w: (known[w], w), reverse=True):
+        for w in sorted((w for w in known if " " not in w), key=lambda w: (known[w], w), reverse=True):
             self.alike.setdefault(skeleton(w), []).append(w)  # the most frequent comes first
 
-    def misread(self, token: str) -> str | None:
-        """The supported form that a token is a misreading of."""
+    def fitting(self, token: str) -> list[str]:
+        """The supported forms that a token may be a misreading of, the most frequent first."""
         low = token.lower()
         if len(low) < 2 or low in self.known or not _LETTERS.search(low) or _TWO_SCRIPTS.search(low):
+            return []
+        if not low.isalpha() and sum(map(str.isalpha, low)) < len(low) / 2:
+            return []
+        return [w for w in self.alike.get(skeleton(low), ()) if confusable(low, w)]
+
+    def misread(self, token: str, left: str = "", right: str = "") -> str | None:
+        """The supported form that a token is a misreading of, by its neighbours where several fit."""
+        fits = self.fitting(token)
+        if not fits:
             return None
-        good = next((w for w in self.alike.get(skeleton(low), ()) if confusable(low, w)), None)
-        if good is None or good == low or (not low.isalpha() and sum(map(str.isalpha, low)) < len(low) / 2):
-            return None
+        good = fits[0]
+        if len(fits) > 1:
+            beside = [self.known.get(f"{left} {w}", 0) + self.known.get(f"{w} {right}", 0) for w in fits]
+            good = fits[beside.index(max(beside))]
         if token[0].isupper() or (token.isupper() and len(token) > 1):
             return good.upper() if token.isupper() and len(good) > 1 and not token[0].isdigit() else good[:1].upper() + good[1:]
         return good
@@ -230,7 +246,7 @@ class Reader:
                 continue
             if t.isalpha() and (m.end() == last or (m.start() == first and t[0].islower())):
                 continue  # the rest of a word that a page or chunk cut
-            good = self.misread(t)
+            good = self.misread(t, *_beside(matches, k))
             if good and (len(t) > 3 or self.supported([x.group() for x in matches[max(0, k - 1) : k + 2]])):
                 yield m, good
 
@@ -257,12 +273,75 @@ def looked_up(text: str) -> set[str]:
     return words
 
 
+def _pairs_of(text: str) -> Iterator[str]:
+    words = _TOKEN.findall(text.lower())
+    return (f"{a} {b}" for a, b in zip(words, words[1:]))
+
+
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = [(key, s) for key, text in zip(*(c.to_pylist() for c in batch.columns)) for s in {skeleton(w) for w in looked_up(text)}]
+        pairs = [(key, s) for key, text in zip(*(c.to_pylist() for c in batch.columns)) for s in {skeleton(w) for w in (*looked_up(text), *_pairs_of(text))}]
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["key", "skeleton"])
 
 
+def _ambiguous(known: dict[str, int] | None):
+    """The pairs of neighbours that could tell which of several forms a misreading stands for, as (form, skeleton)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = None if known is None else Reader(known)
+        for batch in batches:
+            values = [c.to_pylist() for c in batch.columns]
+            found: set[str] = set()
+            for text, reader in zip(values[0], _readers(fixed, values)):
+                if all(t in reader.known for t in set(_TOKEN.findall(text.lower()))):
+                    continue
+                matches = list(_TOKEN.finditer(text))
+                for k, m in enumerate(matches):
+                    fits = reader.fitting(m.group())
+                    if len(fits) > 1:
+                        left, right = _beside(matches, k)
+                        found.update(p for w in fits for p in ([f"{left} {w}"] if left else []) + ([f"{w} {right}"] if right else []))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([skeleton(p) for p in found], pa.string())], ["form", "skeleton"])
+
+    return run
+
+
+def _pair_counts(wanted: set[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["form", "n"])
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    counts.update(_pairs_of(text) if wanted is None else filter(wanted.__contains__, _pairs_of(text)))
+            if len(counts) > _COUNT_AT:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def with_contexts(texts: DataFrame, known: dict[str, int] | DataFrame, *, most: int = 200_000) -> dict[str, int] | DataFrame:
+    """The supported forms, and besides them how often the pairs of words occur that tell which form a misreading stands for.
+
+    Up to ``most`` pairs go to the tasks; beyond them all pairs are counted and joined, and the forms become a table.
+    """
+    needed = checkpoint(with_forms(texts, known).mapInArrow(_ambiguous(_sent(known)), "form string, skeleton string").distinct())
+    few = needed.select("form").limit(most + 1).collect()
+    wanted = {r.form for r in few} if len(few) <= most else None
+    counts = texts.mapInArrow(_pair_counts(wanted), "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
+    if isinstance(known, dict):
+        if wanted is not None:
+            return known | {r.form: r.n for r in counts.collect()}
+        known = texts.sparkSession.createDataFrame([(w, skeleton(w), n) for w, n in known.items()], "form string, skeleton string, n bigint")
+    return checkpoint(known.select("form", "skeleton", "n").unionByName(counts.join(needed, "form").select("form", "skeleton", "n")))
+
+
 def with_forms(texts: DataFrame, known: dict[str, int] | DataFrame) -> DataFrame:
     """``texts`` with the supported forms that each may need as a last column, where they are a table."""
     if isinstance(known, dict):
@@ -441,15 +520,12 @@ def _page_paragraphs(texts: DataFrame, known: dict[str, int] | DataFrame) -> Dat
 def repaired_paragraphs(pages: DataFrame, noise: DataFrame, headers: DataFrame, known: dict[str, int] | DataFrame, *, block: int = 64) -> DataFrame:
     """(document_id, first_page, paragraph, text): the paragraphs of documents with noisy pages, continued over page ends."""
     scanned = noisy_pages(noise).select("document_id").distinct()
-    mine = pages.join(scanned, "document_id")
     # a page that stands in both tables, or was delivered again, is read once
-    first = mine.groupBy("document_id", "page_number").agg(F.min("part").alias("least"))
-    texts = (
-        mine.join(first, ["document_id", "page_number"])
-        .where((F.col("least") >= 0) | (F.col("part") < 0))
-        .groupBy("document_id", "page_number", "part").agg(F.min("text").alias("text"))
-        .groupBy("document_id", "page_number")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    parts = pages.join(scanned, "document_id").groupBy("document_id", "page_number", "part").agg(F.min("text").alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))  # the parts of one page
+    texts = parts.groupBy("document_id", "page_number").agg(ordered.alias("parts")).select(
+        "document_id", "page_number",
+        F.when(F.col("parts")[0]["part"] < 0, F.col("parts")[0]["text"]).otherwise(F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")).alias("text"),
     )
     listed = headers.groupBy("document_id").agg(F.collect_set("line").alias("lines"))  # a few for each document
     done = (
