@@ -17,7 +17,7 @@ from corpusloom.llm import p07_scan_noise as p07
 from corpusloom.llm import p08_packing as p08
 from corpusloom.llm import p09_leakage as p09
 from corpusloom.llm import p10_truncated as p10
-from corpusloom.runtime import checkpoint, table
+from corpusloom.runtime import checkpoint, collect_small, table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -64,8 +64,15 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return p04.lookalike_pairs(p04.look_groups(table(spark, base, "text_chunks")))
 
 
+def p4_classes(spark: SparkSession, base: str) -> DataFrame:
+    return p04.look_classes(p04.look_groups(table(spark, base, "text_chunks")))
+
+
 def p4_forms(spark: SparkSession, base: str) -> DataFrame:
-    return p04.consistent_forms(table(spark, base, "text_chunks"), form="NFC")
+    """Every text once for each normalization that the configs name."""
+    named = table(spark, base, "preprocessing_configs").select("unicode_normalization").where("unicode_normalization is not null").distinct()
+    forms = tuple(sorted(r[0] for r in collect_small(named, 4)))  # there are four
+    return p04.consistent_forms(table(spark, base, "text_chunks"), forms=forms)
 
 
 def _segments(spark: SparkSession, base: str) -> DataFrame:
@@ -104,7 +111,7 @@ def p7_paragraphs(spark: SparkSession, base: str) -> DataFrame:
     pages = _pages(spark, base)
     known = p07.frequent_forms(pages.select("text"))
     noise, headers = p07.page_noise(pages, known)
-    return p07.repaired_paragraphs(pages, checkpoint(noise), checkpoint(headers), known)
+    return p07.repaired_paragraphs(pages, checkpoint(noise), checkpoint(headers), p07.with_contexts(pages.select("text"), known))
 
 
 def _packed(spark: SparkSession, base: str) -> DataFrame:
@@ -145,7 +152,7 @@ def p10_report(spark: SparkSession, base: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_statistics, p3_documents, p4_found, p4_forms, p5_found, p5_segments,
+        p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_statistics, p3_documents, p4_found, p4_classes, p4_forms, p5_found, p5_segments,
         p6_found, p6_restored, p7_found, p7_paragraphs, p8_assignment, p8_fill, p9_found, p9_passages, p10_found, p10_report,
     )
     return {f.__name__: f for f in found}

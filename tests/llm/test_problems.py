@@ -212,11 +212,27 @@ def test_p4_pairs(spark):
     got = {tuple(r) for r in p04.lookalike_pairs(p04.look_groups(df)).collect()}
     same = {"a", "b", "c", "f", "g"}
     assert got == set(itertools.combinations(sorted(same), 2)) - {("f", "g")}
-    forms = {r.id: r.consistent for r in p04.consistent_forms(df, form="NFC").collect()}
+    classes = {r.id: r for r in p04.look_classes(p04.look_groups(df)).collect()}
+    assert set(classes) == same and {(r.look_id, r.spellings, r.members) for r in classes.values()} == {(classes["a"].look_id, 4, 5)}
+    assert len({r.spelling_id for r in classes.values()}) == 4
+    forms = {r.id: r.consistent for r in p04.consistent_forms(df).collect()}
+    assert {r.form for r in p04.consistent_forms(df, forms=("NFC", "NFKD")).collect()} == {"NFC", "NFKD"}
     assert len({forms[i] for i in same}) == 1 and forms["h"] is None and forms["i"] == ""
 
 
+def test_p4_confusables():
+    for a, b in (("ΡοrtаΙ", "PortaI"), ("гeаdег", "reader"), ("αρρly", "apply"), ("ոоtе", "note"), ("ᎠᎡᎪ", "DRA"), ("ⲢⲞⲢ", "POP"), ("ℓine", "line"), ("𝟙𝟚𝟛", "123"),
+                 ("𝛂", "a"), ("it’s “so”", "it's \"so\""), ("a\u2066b\u2069", "ab"), ("a\U000e0041", "a"), ("ℎat", "hat"), ("ɑ", "a")):
+        assert p04.skeleton(a) == p04.skeleton(b), a
+    for a, b in (("é", "e"), ("a", "A"), ("1", "2"), ("ab", "a b"), ("ж", "x"), ("a\nb", "a b")):
+        assert p04.skeleton(a) != p04.skeleton(b), a
+    assert all(p04.skeleton(p04.skeleton(chr(c))) == p04.skeleton(chr(c)) for c in p04.PROTOTYPES)  # prototypes stay as they are
+
+
 def test_p4_scripts():
+    assert p04.consistent_form("the reаdег") == "the reader"
+    for text in ("где горох", "հայոց", "ΑΒΓ αβγ λόγος και"):
+        assert p04.consistent_form(text) == text
     assert p04.consistent_form("pаge") == "page"
     assert p04.consistent_form("зaголовок") == "заголовок"
 
@@ -254,6 +270,34 @@ def test_p6_leaves_clean_texts():
     assert p06.restore(CLEAN[3].encode("koi8-r").decode("cp1251"))[0] == CLEAN[3]
 
 
+def test_p6_two_steps():
+    """Two mix-ups of pages in a row: most come back, or as something as plausible by a path as short."""
+    text = "Почему словарь удаляет отчёт после каждой проверки и сохраняет заголовок страницы"
+    pages, restored, ambiguous, lost = p06._PAGES, 0, 0, 0
+    swaps = [(a, b) for a in pages for b in pages if a != b]
+    for first, second in itertools.product(swaps, swaps):
+        once = p06._transcoded(text, *first)
+        twice = p06._transcoded(once, *second)
+        back = p06._transcoded(p06._transcoded(twice, *second[::-1]), *first[::-1])
+        if back != text or twice in (text, once) or once == text or not p06._CYRILLIC.search(twice):
+            continue
+        if random.Random(repr((first, second))).random() > 0.05:
+            continue  # one in twenty
+        out, path, affected = p06.restore(twice)
+        if out == text:
+            restored += 1
+        elif p06.letters_cost(out) / p06._AS_RUSSIAN.trust(len(path)) <= p06.letters_cost(text) / p06._AS_RUSSIAN.trust(2):
+            ambiguous += 1
+        else:
+            lost += 1
+    assert restored > ambiguous and restored + ambiguous > 4 * lost
+
+
+def test_p6_capitals_and_lines_stay():
+    for text in ("ПОЧЕМУ СЛОВАРЬ УДАЛЯЕТ ОТЧЁТ", "────────────", "╔══════╗", "Ελληνικά"):
+        assert p06.restore(text) == (text, (), False)
+
+
 def test_p6_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "cafÃ©"), (2, "cafÃ©")], "result_id long, original_text string")
     got = [(r.id, r.affected, r.restored) for r in p06.restored_texts(df).collect()]
@@ -439,9 +483,49 @@ def test_p10_cases(spark):
     assert {r.id for r in found.collect()} == {100, 101, 102, 103} | {r[0] for r in limit[:12]}
     report = {r.source: r for r in p10.truncation_report(df, found).collect()}
     assert (report["lim"].texts, report["lim"].cut) == (21, 12)
+    assert all(r.cut == r.cut_at_limit + r.cut_by_last_line for r in report.values())
     assert p10.truncated(df.limit(0), words).count() == 0
 
 
+def test_p10_limits_by_chance(spark):
+    """A length is a limit if it holds more different texts than chance gives, however few or many texts there are; copies of one text tell nothing."""
+    random.seed(2)
+    letters = "abcdefghij klmnop"
+
+    def text(n):
+        return "".join(random.choice(letters) for _ in range(n - 1)) + "x"
+
+    def limits_of(rows):
+        df = spark.createDataFrame([(k, "s", "text", t) for k, t in enumerate(rows)], "id long, source string, column string, text string")
+        return {r.at for r in p10.limits(p10.open_ends(df, frozenset()), 1e-3).where("measure = 'chars'").collect()}
+
+    for many in (40, 400):
+        spread = [text(random.randint(50, 400)) for _ in range(many)]
+        assert limits_of(spread) == set()
+        assert limits_of(spread + [text(200) for _ in range(8 + many // 20)]) == {200}
+        assert limits_of(spread + [spread[0]] * 50) == set()
+
+
+def test_p10_columns(spark):
+    words = spark.createDataFrame([("en", "the"), ("en", "of")], "lang string, word string")
+    df = spark.createDataFrame([(1, "It is whole.", "ends with the", "s"), (2, None, None, None), (3, "It breaks in the midd", "", "s"), (4, "The middle of it.", "x y.", "s")],
+                               "doc_id long, text string, title string, source string")
+    found = p10.truncated(df, words, text_cols=("text", "title"))
+    assert {(r.id, r.column) for r in found.collect()} == {(1, "title"), (3, "text")}
+
+
+def test_p7_context_chooses_the_form(spark):
+    clear, dear = "the water is clear today", "many greetings dear reader and friend"
+    rows = [(f"a{k}", 1, 0, f"{clear} in {k}.") for k in range(40)] + [(f"b{k}", 1, 0, f"{dear} in {k}.") for k in range(15)]
+    rows += [("s", 1, -1, f"{dear.replace('dear', 'c1ear')}.\n\n1"), ("s", 2, -1, f"{clear.replace('clear', 'c1ear')}.\n\n2")]
+    pages = spark.createDataFrame(rows, "document_id string, page_number int, part int, text string")
+    for forms, most in ((60_000, 200_000), (60_000, 1), (3, 200_000)):
+        known = p07.frequent_forms(pages.select("text"), forms=forms)
+        noise, headers = p07.page_noise(pages, known)
+        out = p07.repaired_paragraphs(pages, noise, headers, p07.with_contexts(pages.select("text"), known, most=most)).orderBy("first_page").collect()
+        assert [r.text for r in out] == [f"{dear}.", f"{clear}."], (forms, most)
+
+
 def test_all_queries_run(spark, small):
     for name, run in queries.queries().items():
         assert run(spark, small).limit(1).count() in (0, 1), name
