@@ -168,12 +168,13 @@ def near_duplicates(
     sieved = banded.where(F.pmod("short", F.lit(_SIEVE)) == 0).groupBy("band").agg((F.lit(_SIEVE) * F.count_distinct("short")).alias("n"))
     hot = checkpoint(pairs.hot_groups(sieved, "band"))
     partitions = max(sketched.sparkSession.sparkContext.defaultParallelism, sketched.where("bands is not null").count() * bands // _ROWS)
-    celled = (
-        pairs.in_cells(banded, "band", "short", hot)
-        .repartition(partitions, "band", "cell")
-        .dropDuplicates(["band", "cell", "short"])
+    # the cell is part of the key: a clash of hashes only adds candidates, which are checked, and keys stay short
+    key = F.when(F.col("cell") == 0, F.col("band")).otherwise(F.xxhash64("band", "cell")).alias("key")
+    celled = pairs.in_cells(banded, "band", "short", hot).select(key, "short").repartition(partitions, "key").dropDuplicates(["key", "short"])
+    candidates = checkpoint(
+        celled.toDF("key", "short_a").join(celled.toDF("key", "short_b").hint("merge"), "key")
+        .where("short_a < short_b").select("short_a", "short_b").distinct()
     )
-    candidates = checkpoint(pairs.cell_pairs(celled, "band", "short").select("short_a", "short_b").distinct())
     wanted = checkpoint(candidates.select(F.explode(F.array("short_a", "short_b")).alias("short")).distinct())
     chosen = checkpoint(
         sketched.select("id", "class_key", short.alias("short"))
