@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import documents, embedding, store
-from corpusloom.runtime import checkpoint, table
+from corpusloom.operators import chunking, documents, embedding, store
+from corpusloom.runtime import checkpoint, ensure_checkpoint_dir, table
+from corpusloom.plans.text_queries import _PAGE_ID, _PAGES
 from corpusloom.streaming import ingest
 
 
@@ -27,7 +28,7 @@ def upsert_result(spark, base):
 
 
 def delete_document_result(spark, base):
-    left = _chunks(spark, base).where(~F.col("document_id").eqNullSafe("compendium-main"))
+    left = store.without_document(_chunks(spark, base), "compendium-main")
     return left.groupBy("document_id").agg(F.count("*").alias("chunks"))
 
 
@@ -38,7 +39,13 @@ def delete_by_filter(spark, base):
 
 def get_chunks(spark, base):
     keys = table(spark, base, "preprocessing_results").where("page_number is not null").select("document_id").distinct()
-    return _chunks(spark, base).join(keys, "document_id", "left_semi").select("id", "document_id", "page_number")
+    return store.pick(_chunks(spark, base), keys, "document_id").select("id", "document_id", "page_number")
+
+
+def chunks_by_id(spark, base):
+    """The first chunk of each document by its id."""
+    keys = _chunks(spark, base).where("document_id is not null").groupBy("document_id").agg(F.min("id").alias("id"))
+    return store.pick(_chunks(spark, base), keys).select("id", "document_id")
 
 
 def delete_chunks(spark, base):
@@ -93,35 +100,50 @@ def end_to_end_search(spark, base):
     return search.search_many(v, v.where(F.col("vec_id") % 50 == 0), 3)
 
 
-def collection_lifecycle(spark, base):
-    """Chunks are stored, changed and deleted in a collection of their own; its final count by page."""
-    from corpusloom.runtime import ensure_checkpoint_dir
+def chunk_embeddings(spark, base):
+    """Pages are cut into chunks with their source, and each chunk gets its vector."""
+    from corpusloom.plans.text_queries import _S, stored_pages
+
+    c = chunking.page_chunks(stored_pages(spark, base), _S, method="fixed", clean=False)
+    e = embedding.embed_chunks(c, embedding.hash_embedder(64), model="hash-64")
+    return e.select("id", "document_id", "page_number", "chunk_index", F.md5(F.encode("content", "UTF-8")).alias("hash"), "dimension", "model")
+
+
+def cached_embeddings(spark, base):
+    """All distinct contents with their vectors, and whether each was in the cache or is new to it."""
+    texts = _chunks(spark, base).where("content is not null").select(F.col("content").alias("text"))
+    held = _chunks(spark, base).where("page_number <= 5 and content is not null").select(embedding.cache_key(_MODEL, F.col("content")).alias("key")).distinct()
+    cache = held.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    found, fresh = embedding.cached_embeddings(texts, cache, _MODEL, embedding.hash_embedder(64))
+    new = fresh.select("key", F.lit(True).alias("is_new"))
+    return found.join(new, "key", "left").select("key", F.size("embedding").alias("dimension"), F.coalesce("is_new", F.lit(False)).alias("is_new"))
 
+
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared folder of the cluster."""
     ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/collections-{tempfile.gettempprefix()}{spark.sparkContext.startTime}"
-    c = store.Collection(spark, root, "chunks")
-    if c.exists():
-        c.drop()
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def collection_lifecycle(spark, base):
+    """Chunks are stored, changed and deleted in a collection of their own; its final count by page."""
+    c = store.Collection(spark, _scratch(spark, "collections"), "chunks")
     rows = _chunks(spark, base).select("id", "document_id", "page_number", "content")
-    c.add(rows)
+    late = F.col("page_number") == 2
+    c.add(rows.where(~F.coalesce(late, F.lit(False))))
+    c.add(rows.where(late))
     c.upsert(rows.where("page_number = 1").withColumn("content", F.lit("replaced")))
     c.delete_document("compendium-main")
     c.delete_where({"page_number": {"$gt": 10}})
+    c.vacuum()
     return c.read().groupBy("page_number").agg(F.count("*").alias("chunks"), F.count_if(F.col("content") == "replaced").alias("replaced"))
 
 
 def streaming_ingest(spark, base):
-    """The chunk table as a stream, counted by windows of 30 days."""
-    from corpusloom.runtime import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    root = tempfile.mkdtemp(prefix="stream-") if spark.sparkContext.master.startswith("local[") else None
-    if root is None:
-        import uuid
-
-        root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    stream = ingest.chunk_stream(spark, f"{base}/text_chunks.parquet/*.parquet" if _is_folder(spark, base) else f"{base}/text_chunks*.parquet")
-    out = ingest.run_to_end(ingest.counts_by_month(stream), f"{root}/out", f"{root}/checkpoint")
+    """The chunk table as a stream, each chunk once, counted by windows of 30 days."""
+    root = _scratch(spark, "stream")
+    stream = ingest.first_deliveries(ingest.chunk_stream(spark, f"{base}/text_chunks.parquet/*.parquet" if _is_folder(spark, base) else f"{base}/text_chunks*.parquet"))
+    out = ingest.run_to_end(stream, ingest.counts_by_month, "w", f"{root}/out", f"{root}/checkpoint")
     return out.select(F.unix_timestamp("w.start").alias("start_s"), "chunks", "characters")
 
 
@@ -180,7 +202,13 @@ QUERIES = {
     "collection_lifecycle": (collection_lifecycle, f"""
         WITH {_ONCE} SELECT page_number, count(*) AS chunks, count(*) FILTER (CASE WHEN page_number = 1 THEN true ELSE content = 'replaced' END) AS replaced
         FROM x WHERE document_id IS DISTINCT FROM 'compendium-main' AND NOT coalesce(page_number > 10, false) GROUP BY page_number"""),
-    "streaming_ingest": (streaming_ingest, """
-        SELECT (epoch(created_at)::BIGINT // 2592000) * 2592000 AS start_s, count(*) AS chunks, sum(length(content))::BIGINT AS characters FROM text_chunks
+    "streaming_ingest": (streaming_ingest, f"""
+        WITH {_ONCE} SELECT (epoch(created_at)::BIGINT // 2592000) * 2592000 AS start_s, count(*) AS chunks, coalesce(sum(length(content)), 0)::BIGINT AS characters FROM x
         WHERE created_at IS NOT NULL GROUP BY 1"""),
+    "chunks_by_id": (chunks_by_id, f"WITH {_ONCE} SELECT min(id) AS id, document_id FROM x WHERE document_id IS NOT NULL GROUP BY document_id"),
+    "chunk_embeddings": (chunk_embeddings, _PAGES + f"""
+        SELECT {_PAGE_ID} AS id, document_id, page_number, chunk_index, md5(content) AS hash, 64 AS dimension, 'hash-64' AS model FROM g"""),
+    "cached_embeddings": (cached_embeddings, f"""
+        WITH {_ONCE}, k AS (SELECT sha256('{_MODEL}‖' || content) AS key, page_number FROM x WHERE content IS NOT NULL), c AS (SELECT DISTINCT key FROM k WHERE page_number <= 5)
+        SELECT DISTINCT key, CASE WHEN key IN (SELECT key FROM c) THEN 1 ELSE 64 END AS dimension, key NOT IN (SELECT key FROM c) AS is_new FROM k"""),
 }
