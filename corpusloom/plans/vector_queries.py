@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SearchQuery
 from corpusloom.operators import documents, embedding_quality, search
-from corpusloom.runtime import table
+from corpusloom.runtime import checkpoint, table
 
 
 def _vectors(spark, base):
@@ -68,31 +68,59 @@ def embedding_dim_stats(spark, base):
     return d.select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+def _centers(spark, base):
+    return embedding_quality.cluster_centers(_vectors(spark, base))
+
+
 def label_similarity_matrix(spark, base):
-    """Cosine between the centres of the labels."""
-    from corpusloom.functions import vector as V
+    """Cosine between the centres of the labels, as the nearest of each among all of them."""
+    c = checkpoint(_centers(spark, base))
+    found = search.search_many(c, c, c.count(), id_col="label", vector_col="center", same_set=False)
+    return found.select(F.col("query_id").alias("label_a"), F.col("vec_id").alias("label_b"), F.col("score").alias("cosine"))
 
-    c = embedding_quality.cluster_centers(_vectors(spark, base)).withColumn("one", F.lit(1))
-    a, b = c.toDF("label_a", "a", "one"), c.toDF("label_b", "b", "one")
-    return a.join(b, "one").select("label_a", "label_b", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
+def search_between_sets(spark, base):
+    """The vectors nearest to the centre of each label."""
+    centers = _centers(spark, base).select(F.col("label").alias("vec_id"), F.col("center").alias("embedding"))
+    return search.search_many(_vectors(spark, base), centers, 3, same_set=False)
 
-def semantic_consistency(spark, base):
+
+def search_in_document(spark, base):
+    """The nearest among the vectors of one document, and of one of its pages."""
+    v = _vectors(spark, base).select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("doc"), F.col("label")).alias("document_id"), (F.col("vec_id") % 5).alias("page_number"))
+    q = SearchQuery(tuple(search.stored_vector(v, 0, id_col="id")), 5)
+    whole = search.similar_within(v, q, document="doc3").withColumn("scope", F.lit("document"))
+    page = search.similar_within(v, q, document="doc3", page=2).withColumn("scope", F.lit("page"))
+    return whole.unionByName(page).select("scope", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _text_pairs(spark, base):
     """Documents and vectors of consecutive ids, in pairs of two: (1, 2), (3, 4), ..."""
     d = table(spark, base, "documents").select(F.col("doc_id").alias("k"), "text")
     v = _vectors(spark, base).select((F.col("vec_id") + 1).alias("k"), F.col("embedding"))
     both = d.join(v, "k").withColumn("pair", F.floor((F.col("k") - 1) / 2)).withColumn("odd", F.col("k") % 2 == 1)
     a = both.where("odd").select("pair", F.col("text").alias("text_a"), F.col("embedding").alias("vec_a"))
     b = both.where("not odd").select("pair", F.col("text").alias("text_b"), F.col("embedding").alias("vec_b"))
-    return embedding_quality.semantic_consistency(a.join(b, "pair"))
+    return a.join(b, "pair")
+
+
+def semantic_consistency(spark, base):
+    return embedding_quality.semantic_consistency(_text_pairs(spark, base))
 
 
 def overall_quality(spark, base):
-    return embedding_quality.overall(_vectors(spark, base))
+    return embedding_quality.overall(_vectors(spark, base), pairs=_text_pairs(spark, base))
 
 
 def quality_recommendations(spark, base):
-    return embedding_quality.recommendations(embedding_quality.overall(_vectors(spark, base)))
+    """The advice for the vectors, and for the same with half of their dimensions set to zero."""
+    v = _vectors(spark, base)
+    halved = v.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.lit(0.0).cast("float"))))
+    out = None
+    for name, rows in (("as they are", v), ("halved", halved)):
+        advice = embedding_quality.recommendations(embedding_quality.overall(rows), embedding_quality.dimension_utilization(rows)).withColumn("vectors", F.lit(name))
+        out = advice if out is None else out.unionByName(advice)
+    return out
 
 
 def kmeans_clusters(spark, base):
@@ -119,16 +147,40 @@ _INTER = f"""
         WITH {_CELLS}, {_CENTERS}, p AS (SELECT list_distance(a.c, b.c) AS d FROM centers a JOIN centers b ON a.label < b.label)
         SELECT count(*) AS pairs, round(avg(d), 6) AS mean_distance, round(min(d), 6) AS min_distance, round(max(d), 6) AS max_distance,
             round(stddev_pop(d), 6) AS std_distance, round(least(1.0, avg(d) / 2), 6) AS score FROM p"""
-_OVERALL = f"""
+_TOKENS = r"list_filter(string_split_regex(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> '')"
+_CONSISTENCY = f"""
+        WITH x AS (SELECT d.doc_id AS k, text, embedding::DOUBLE[] AS e FROM documents d JOIN embeddings v ON d.doc_id = v.vec_id + 1),
+        p AS (SELECT {_TOKENS.format('a.text')} AS s, {_TOKENS.format('b.text')} AS t, list_cosine_similarity(a.e, b.e) AS c
+              FROM x a JOIN x b ON b.k = a.k + 1 AND a.k % 2 = 1),
+        j AS (SELECT c, CASE WHEN len(s) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))) END AS j FROM p)
+        SELECT count(*) AS pairs, round(1 - avg(abs(j - c)), 6) AS score FROM j"""
+
+
+def _overall(more: str = "") -> str:
+    return f"""
         WITH parts AS (
             SELECT 'dimension_utilization' AS metric, score, 0.2 AS weight FROM ({_UTIL})
             UNION ALL SELECT 'variance', score, 0.15 FROM ({_VARIANCE})
             UNION ALL SELECT 'outliers', score, 0.15 FROM ({_OUTLIERS})
             UNION ALL SELECT 'intra_cluster', score, 0.2 FROM ({_INTRA})
-            UNION ALL SELECT 'inter_cluster', score, 0.15 FROM ({_INTER}))
+            UNION ALL SELECT 'inter_cluster', score, 0.15 FROM ({_INTER}) {more})
         SELECT metric, score FROM parts
         UNION ALL SELECT 'overall', round((sum(least(1.0, greatest(0.0, score)) * weight) / sum(weight))::DOUBLE, 6) FROM parts"""
-_TOKENS = r"list_filter(string_split_regex(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> '')"
+
+
+_HALVED = """embeddings AS (SELECT vec_id, label, list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE 0::FLOAT END) AS embedding FROM main.embeddings), """
+
+
+def _advice(name: str, shadow: str = "") -> str:
+    return f"""(WITH {shadow} s AS ({_overall()}), u AS ({_UTIL}), a AS (
+        SELECT metric, CASE metric WHEN 'dimension_utilization' THEN 'Consider using a model with better dimension utilization or reducing embedding dimension'
+            WHEN 'variance' THEN 'Embeddings show low variance; adjust preprocessing or use a more expressive model'
+            WHEN 'outliers' THEN 'High outlier ratio; review input text quality and preprocessing' END AS advice
+        FROM s WHERE least(1.0, greatest(0.0, score)) < 0.5 AND metric IN ('dimension_utilization', 'variance', 'outliers')
+        UNION ALL SELECT 'zero_dimensions', 'Found ' || zero || ' unused dimensions; consider dimension reduction' FROM u WHERE zero > 0)
+        SELECT metric, advice, '{name}' AS vectors FROM a
+        UNION ALL SELECT 'overall', 'Embedding quality is good. No major issues detected.', '{name}' WHERE NOT EXISTS (SELECT 1 FROM a))"""
+
 
 QUERIES = {
     "vector_topk_cosine": (_nearest("cosine"), _sql_nearest(_COS)),
@@ -166,15 +218,17 @@ QUERIES = {
     "inter_cluster": (lambda s, b: embedding_quality.inter_cluster(_vectors(s, b)), _INTER),
     "label_similarity_matrix": (label_similarity_matrix, f"""
         WITH {_CELLS}, {_CENTERS}
-        SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.c, b.c), 6) AS cosine FROM centers a, centers b"""),
-    "semantic_consistency": (semantic_consistency, f"""
-        WITH x AS (SELECT d.doc_id AS k, text, embedding::DOUBLE[] AS e FROM documents d JOIN embeddings v ON d.doc_id = v.vec_id + 1),
-        p AS (SELECT {_TOKENS.format('a.text')} AS s, {_TOKENS.format('b.text')} AS t, list_cosine_similarity(a.e, b.e) AS c
-              FROM x a JOIN x b ON b.k = a.k + 1 AND a.k % 2 = 1),
-        j AS (SELECT c, CASE WHEN len(s) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))) END AS j FROM p)
-        SELECT count(*) AS pairs, round(1 - avg(abs(j - c)), 6) AS score FROM j"""),
-    "overall_quality": (overall_quality, _OVERALL),
-    "quality_recommendations": (quality_recommendations, f"""
-        SELECT metric, CASE WHEN score < 0.5 THEN 'improve ' || replace(metric, '_', ' ') ELSE 'good' END AS advice FROM ({_OVERALL}) WHERE metric <> 'overall'"""),
+        SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.c::FLOAT[]::DOUBLE[], b.c::FLOAT[]::DOUBLE[]), 6) AS cosine FROM centers a, centers b"""),
+    "semantic_consistency": (semantic_consistency, _CONSISTENCY),
+    "search_between_sets": (search_between_sets, f"""
+        WITH {_CELLS}, {_CENTERS}, s AS (SELECT c.label AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c.c::FLOAT[]::DOUBLE[]), 6) AS score FROM embeddings e, centers c)
+        SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3"""),
+    "search_in_document": (search_in_document, f"""
+        WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+        s AS (SELECT vec_id, vec_id % 5 = 2 AS here, round({_COS}, 6) AS score FROM embeddings, q WHERE label = 3)
+        (SELECT 'document' AS scope, row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5)
+        UNION ALL (SELECT 'page', row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s WHERE here QUALIFY rank <= 5)"""),
+    "overall_quality": (overall_quality, _overall(f"UNION ALL SELECT 'semantic_consistency', score, 0.15 FROM ({_CONSISTENCY})")),
+    "quality_recommendations": (quality_recommendations, f"{_advice('as they are')} UNION ALL {_advice('halved', _HALVED)}"),
     "kmeans_clusters": (kmeans_clusters, None),
 }
