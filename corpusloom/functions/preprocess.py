@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,8 +31,8 @@ CONTRACTIONS = {
     "don't": "do not", "hadn't": "had not", "hasn't": "has not", "haven't": "have not", "he'd": "he would", "he'll": "he will",
     "he's": "he is", "i'd": "i would", "i'll": "i will", "i'm": "i am", "i've": "i have", "isn't": "is not", "it'd": "it would",
     "it'll": "it will", "it's": "it is", "let's": "let us", "shouldn't": "should not", "that's": "that is", "there's": "there is",
-    "they'd": "they would", "they'll": "they will", "they're": "they are", "they've": "they have", "wasn't": "was not", "we'd": "we would",
-    "we're": "we are", "we've": "we have", "weren't": "were not", "what's": "what is", "won't": "will not", "wouldn't": "would not",
+    "they'd": "they would", "they'll": "they will", "they're": "they are", "they've": "they have", "we'd": "we would", "we're": "we are",
+    "we've": "we have", "weren't": "were not", "what's": "what is", "where's": "where is", "who's": "who is", "won't": "will not", "wouldn't": "would not",
     "you'd": "you would", "you'll": "you will", "you're": "you are", "you've": "you have",
 }
 
@@ -89,13 +90,15 @@ def calm_punctuation(c: Column) -> Column:
 def expand_contractions(c: Column) -> Column:
     """Known contractions in full, words joined by one space.
 
-    What isn't a letter or digit in a replaced word, its apostrophe included, is put behind the long form.
+    A word is known by its lower case without marks at its ends; the long form takes a capital where the
+    word begins with one. What isn't a letter or digit in a replaced word, its apostrophe included, is put behind it.
     """
     table = F.create_map(*[F.lit(x) for pair in CONTRACTIONS.items() for x in pair])
 
     def one(w: Column) -> Column:
-        long = F.element_at(table, F.regexp_replace(F.lower(w), r"[^a-z0-9']", ""))
-        return F.when(long.isNull(), w).otherwise(F.concat(long, F.regexp_replace(w, r"[a-zA-Z0-9]", "")))
+        long = F.element_at(table, F.regexp_replace(F.lower(w), r"""^[.,!?;:"]+|[.,!?;:"]+$""", ""))
+        shown = F.when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(long, 1, 1)), F.substring(long, 2, 100))).otherwise(long)
+        return F.when(long.isNull(), w).otherwise(F.concat(shown, F.regexp_replace(w, r"[a-zA-Z0-9]", "")))
 
     return F.array_join(F.transform(tokens(c), one), " ")
 
@@ -139,7 +142,9 @@ def custom(c: Column, patterns: list[tuple[str, str]]) -> Column:
     return c
 
 
-def quality_score(c: Column) -> Column:
+def quality_score(
+    c: Column, *, min_length: int = 10, max_length: int = 100_000, min_words: int = 3, max_repetition: float = 0.3, min_letters: float = 0.5
+) -> Column:
     """Between 0 and 1: length, words, share of letters, repetition and sentence ends."""
     n, words = F.length(c), tokens(c)
     count = F.size(words)
@@ -147,11 +152,11 @@ def quality_score(c: Column) -> Column:
     repetition = F.lit(1.0) - F.size(F.array_distinct(words)) / count
     score = (
         F.lit(1.0)
-        * F.when(n < 10, 0.5).otherwise(1.0)
-        * F.when(n > 100_000, 0.8).otherwise(1.0)
-        * F.when(count < 3, 0.6).otherwise(1.0)
-        * F.when(alpha < 0.5, alpha / 0.5).otherwise(1.0)
-        * F.when((count > 1) & (repetition > 0.3), F.lit(1.0) - repetition).otherwise(1.0)
+        * F.when(n < min_length, 0.5).otherwise(1.0)
+        * F.when(n > max_length, 0.8).otherwise(1.0)
+        * F.when(count < min_words, 0.6).otherwise(1.0)
+        * F.when(alpha < min_letters, alpha / min_letters).otherwise(1.0)
+        * F.when((count > 1) & (repetition > max_repetition), F.lit(1.0) - repetition).otherwise(1.0)
         * F.when(c.rlike(r"[.!?]"), 1.1).otherwise(1.0)
     )
     return F.when(strip(c) == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
@@ -206,21 +211,55 @@ def preset(level: str = "standard", text_type: str = "general") -> Settings:
     return s
 
 
+def _steps(s: Settings) -> list[tuple[str, Callable[[Column], Column]]]:
+    """The steps after the repair of the encoding, in their order, by the names they are reported with."""
+    form = s.unicode_form
+    found = [
+        (form, "unicode_normalized", lambda c: normalizer(form)(c)),
+        (True, "non_printable_removed", strip_control),
+        (True, "html_cleaned", lambda c: strip_tags(unescape_entities(c))),
+        (s.urls, "urls_removed", mask_urls), (s.emails, "emails_removed", mask_emails), (s.phones, "phones_removed", mask_phones),
+        (s.citations, "citations_removed", remove_citations), (s.code, "code_blocks_removed", mask_code),
+        (True, "markdown_cleaned", strip_markdown),
+        (s.punctuation, "punctuation_normalized", calm_punctuation), (s.contractions, "contractions_expanded", expand_contractions),
+        (s.smart_case, "smart_lowercase", smart_lowercase), (s.lower_case, "lowercase", F.lower),
+        (s.accents, "accents_removed", remove_accents), (s.whitespace, "whitespace_normalized", collapse_whitespace),
+    ]
+    found += [(True, "custom_pattern_applied", lambda c, p=p: custom(c, [p])) for p in s.patterns]
+    return [(name, step) for on, name, step in found if on]
+
+
 def preprocess(c: Column, s: Settings | None = None) -> Column:
     s = s or Settings()
     if s.fix_encoding:
         c = F.make_valid_utf8(c)
-    if s.unicode_form:
-        c = normalizer(s.unicode_form)(c)
-    c = strip_tags(unescape_entities(strip_control(c)))
-    for on, step in ((s.urls, mask_urls), (s.emails, mask_emails), (s.phones, mask_phones), (s.citations, remove_citations), (s.code, mask_code)):
-        if on:
-            c = step(c)
-    c = strip_markdown(c)
-    for on, step in (
-        (s.punctuation, calm_punctuation), (s.contractions, expand_contractions), (s.smart_case, smart_lowercase),
-        (s.lower_case, F.lower), (s.accents, remove_accents), (s.whitespace, collapse_whitespace),
-    ):
-        if on:
-            c = step(c)
-    return custom(c, s.patterns)
+    for _, step in _steps(s):
+        c = step(c)
+    return strip(c)
+
+
+def preprocess_results(texts: DataFrame, s: Settings | None = None, *, text_col: str = "original_text", level: str = "standard") -> DataFrame:
+    """The rows with ``processed_text``, ``quality_score``, ``text_type``, ``transformations`` and ``metadata``.
+
+    A null or blank text has an empty processed text, the quality 0, no type and the one transformation ``empty_input``. Columns
+    of these names are replaced.
+    """
+    s = s or Settings()
+    text = F.col(text_col)
+    blank = F.coalesce(strip(text) == "", F.lit(True))
+    done = texts.withColumn("processed_text", F.when(blank, F.lit("")).otherwise(preprocess(text, s)))
+    after = F.col("processed_text")
+    names = F.array(*[F.lit(n) for n, _ in _steps(s)])
+    if s.fix_encoding:
+        names = F.when(F.make_valid_utf8(text) != text, F.concat(F.array(F.lit("encoding_fixed")), names)).otherwise(names)
+    n, m = F.length(text), F.length(after)
+    done = done.withColumn("transformations", F.when(blank, F.array(F.lit("empty_input"))).otherwise(names))
+    metadata = F.struct(
+        n.alias("original_length"), m.alias("processed_length"), (m / n).alias("compression_ratio"), F.size(tokens(after)).alias("word_count"),
+        F.regexp_count(after, F.lit("[.!?]")).alias("sentence_count"), F.lit(level).alias("preprocessing_level"), F.size("transformations").alias("transformations_count"),
+    )
+    return done.withColumns({
+        "quality_score": F.when(blank, F.lit(0.0)).otherwise(quality_score(after)),
+        "text_type": F.when(~blank, text_type(after)),
+        "metadata": F.when(~blank, metadata),
+    })

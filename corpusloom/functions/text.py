@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Literal replacements of the Unicode step, one for one and one for many.
-ONE_FOR_ONE = ("‘’“” ​﻿", "''\"\" ")
+ONE_FOR_ONE = ("\u2018\u2019\u201c\u201d\u00a0\u200b\ufeff", "''\"\" ")
 ONE_FOR_MANY = (("–", "-"), ("—", "--"), ("…", "..."))
 
 # Ordered repairs of extracted text.
@@ -28,9 +28,12 @@ ARTIFACTS = (
 NOT_PLAIN = r"""[^a-zA-Z0-9\s.,!?;:()\-"'\n]"""
 
 
+_SPACE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Without ASCII white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def normalizer(form: str):
@@ -60,7 +63,7 @@ def fix_artifacts(c: Column) -> Column:
 
 def normalize_whitespace(c: Column, preserve_structure: bool = True) -> Column:
     if not preserve_structure:
-        return F.regexp_replace(c, r"\s+", " ")
+        return strip(F.regexp_replace(c, r"\s+", " "))
     parts = F.transform(F.split(c, "\n\n"), lambda p: F.regexp_replace(strip(p), r"\s+", " "))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import strip, tokens
+from corpusloom.functions.preprocess import remove_accents
+from corpusloom.functions.text import normalizer, strip, tokens
 
 
 def smart_lowercase_tokens(c: Column) -> Column:
@@ -19,9 +20,17 @@ def smart_lowercase_tokens(c: Column) -> Column:
     return F.array_join(F.transform(tokens(c), one), " ")
 
 
-def normalize_tokens(c: Column, *, lower: bool = True, remove_punctuation: bool = False, remove_digits: bool = False) -> Column:
+def normalize_tokens(
+    c: Column, *, unicode_form: str | None = None, accents: bool = False, lower: bool = True, smart_case: bool = False,
+    remove_punctuation: bool = False, remove_digits: bool = False,
+) -> Column:
+    """Unicode form, accents, case, punctuation and digits as asked for, in this order; then white space as single spaces."""
+    if unicode_form:
+        c = normalizer(unicode_form)(c)
+    if accents:
+        c = remove_accents(c)
     if lower:
-        c = F.lower(c)
+        c = smart_lowercase_tokens(c) if smart_case else F.lower(c)
     if remove_punctuation:
         c = F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " ")
     if remove_digits:

@@ -13,15 +13,41 @@ from corpusloom.functions import text as T
 from corpusloom.functions import tokens as K
 from corpusloom.operators import chunking
 from corpusloom.sources import pages
-from corpusloom.runtime import table
+from corpusloom.runtime import spread, table
 
 NOISE = (
     "\n\n<b>Bold &amp; more</b>  see https://example.org/a?b=1 or mail a.b@example.org , call (555) 123-4567 !!!\n\n\n\n 42 \n\n"
-    "Results [1, 2] by (Smith et al., 2020) ; it's fine, don't worry... A bro-\nken word. `code` and ```x = 1```\n"
+    "Results [1, 2] by (Smith et al., 2020) ; it's fine, don't worry... Where's it? \"Who's there,\" he'd say. A bro-\nken word. `code` and ```x = 1```\n"
     "## Heading here\nA [label](http://example.org/x) for NASA and the European Union.\x07 “Quoted” – text… done"
 )
 
 
+# Fixed values of the SQL side, written out on their own so that a wrong value of the operators shows.
+SQL_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+SQL_TAG = r"<[^>]+>"
+SQL_URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+SQL_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+SQL_PHONE = r"(\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"
+SQL_CITATION = r"\[[0-9,\s-]+\]|\([A-Za-z]+\s+et\s+al\.?,?\s+[0-9]{4}\)"
+SQL_CODE = r"```[\s\S]*?```|`[^`]+`"
+SQL_HEADING = r"(?m)^#{1,6}\s+"
+SQL_LINK = r"\[([^\]]+)\]\([^\)]+\)"
+SQL_MARKS = r"[!?]{2,}|[.]{3,}"
+SQL_NOT_PLAIN = r"""[^a-zA-Z0-9\s.,!?;:()\-"'\n]"""
+SQL_ARTIFACTS = ((r"-\s*\n\s*", ""), (r"\s+([,.!?;:])", r"\1"), (r"([.!?])[ \t]+([A-Z])", r"\1 \2"), (r" {2,}", " "), (r"(?m)^\s*\d+\s*$", ""))
+SQL_LONG_FORMS = """
+    ain't=is not|aren't=are not|can't=cannot|couldn't=could not|didn't=did not|doesn't=does not|don't=do not|hadn't=had not|hasn't=has not|haven't=have not|
+    he'd=he would|he'll=he will|he's=he is|i'd=i would|i'll=i will|i'm=i am|i've=i have|isn't=is not|it'd=it would|it'll=it will|it's=it is|let's=let us|
+    shouldn't=should not|that's=that is|there's=there is|they'd=they would|they'll=they will|they're=they are|they've=they have|we'd=we would|we're=we are|
+    we've=we have|weren't=were not|what's=what is|where's=where is|who's=who is|won't=will not|wouldn't=would not|you'd=you would|you'll=you will|
+    you're=you are|you've=you have
+"""
+SQL_TYPES = (
+    "academic: abstract methodology conclusion references", "code: function class import return", "legal: plaintiff defendant court legal",
+    "medical: patient diagnosis treatment medical", "social_media: @ # lol omg",
+)
+
+
 def _sql(text: str) -> str:
     out = "'" + text.replace("'", "''") + "'"
     return out.replace("\x07", "' || chr(7) || '")
@@ -31,7 +57,7 @@ _N = f"(text || {_sql(NOISE)})"
 
 
 def _docs(spark, base):
-    return table(spark, base, "documents").select("doc_id", "text")
+    return spread(table(spark, base, "documents").select("doc_id", "text"))
 
 
 def _noisy(spark, base):
@@ -58,20 +84,16 @@ def _strip(e: str) -> str:
 
 
 def _artifacts(e: str) -> str:
-    for pattern, to in T.ARTIFACTS:
-        flags = "g"
-        if pattern.startswith("(?md)"):
-            pattern = "(?m)" + pattern[5:]
-        e = _rx(e, pattern, to.replace("$1 $2", r"\1 \2").replace("$1", r"\1"), flags)
+    for pattern, to in SQL_ARTIFACTS:
+        e = _rx(e, pattern, to)
     return e
 
 
 def _literals(e: str) -> str:
     e = f"nfc_normalize({e})"
-    for a, b in zip(T.ONE_FOR_ONE[0], (*T.ONE_FOR_ONE[1], "", "")):
-        e = f"replace({e}, '{a}', {_sql(b)})"
-    for a, b in T.ONE_FOR_MANY:
-        e = f"replace({e}, '{a}', '{b}')"
+    for a, b in (("chr(8216)", "'"), ("chr(8217)", "'"), ("chr(8220)", '"'), ("chr(8221)", '"'), ("chr(8211)", "-"), ("chr(8212)", "--"), ("chr(8230)", "..."),
+                 ("chr(160)", " "), ("chr(8203)", ""), ("chr(65279)", "")):
+        e = f"replace({e}, {a}, {_sql(b)})"
     return e
 
 
@@ -134,9 +156,20 @@ def pdf_metadata_cleanup(spark, base):
     return c.select("run_id", F.explode(pages.clean_metadata(noisy)).alias("key", "value"))
 
 
+def _files(spark, base):
+    """The files of the runs; their sizes are made from their names, as the log has none."""
+    files = table(spark, base, "processing_results").select(F.col("file_path").alias("path")).distinct()
+    return files.withColumn("length", (F.length("path") - 12).cast("bigint") * 1024 * 1024)
+
+
 def source_validation(spark, base):
-    r = table(spark, base, "processing_results").select("file_path").distinct()
-    return r.groupBy(F.lower("file_path").endswith(".pdf").alias("is_pdf")).agg(F.count("*").alias("files"))
+    """What is wrong with which files; those without an error go on."""
+    good, bad = pages.validated(_files(spark, base), max_mb=10)
+    return bad.unionByName(good.select("path", F.lit("").alias("error")))
+
+
+def source_file_info(spark, base):
+    return pages.file_info(_files(spark, base).withColumn("modificationTime", F.lit(0))).select("path", "file_name", "file_size_bytes")
 
 
 def text_quality(spark, base):
@@ -147,13 +180,19 @@ def text_types(spark, base):
     return _docs(spark, base).groupBy(P.text_type(F.col("text")).alias("text_type")).agg(F.count("*").alias("n"))
 
 
+_PLAIN_STEPS = P.Settings(fix_encoding=False, unicode_form=None)
+
+
 def preprocess_metadata(spark, base):
-    after = P.collapse_whitespace(P.calm_punctuation(P.mask_phones(P.mask_emails(P.mask_urls(F.col("text"))))))
-    d = _noisy(spark, base).select("doc_id", "text", after.alias("after"))
-    return d.select(
-        "doc_id", F.length("text").alias("original_length"), F.length("after").alias("processed_length"),
-        F.round(F.length("after") / F.length("text"), 6).alias("compression_ratio"), F.size(T.tokens(F.col("after"))).alias("words"),
-        F.regexp_count("after", F.lit("[.!?]")).alias("sentence_marks"),
+    """The whole result of preprocessing; SQL has no NFKC, so the Unicode step is left out on both sides. One text in ten is blanked."""
+    d = _noisy(spark, base).withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).otherwise(F.col("text")))
+    r = P.preprocess_results(d, _PLAIN_STEPS, text_col="text")
+    m = F.col("metadata")
+    return r.select(
+        "doc_id", F.md5(F.encode("processed_text", "UTF-8")).alias("hash"), F.round("quality_score", 6).alias("quality"), "text_type",
+        F.array_join("transformations", ",").alias("transformations"), m["original_length"].alias("original_length"), m["processed_length"].alias("processed_length"),
+        F.round(m["compression_ratio"], 6).alias("compression_ratio"), m["word_count"].alias("words"), m["sentence_count"].alias("sentence_marks"),
+        m["preprocessing_level"].alias("level"), m["transformations_count"].alias("steps"),
     )
 
 
@@ -224,6 +263,17 @@ def global_chunk_index(spark, base):
     return chunking.with_global_index(c).select("id", "document_id", "global_index")
 
 
+def stored_pages(spark, base):
+    return table(spark, base, "preprocessing_results").select("document_id", "page_number", F.col("original_text").alias("text"))
+
+
+def page_chunks(spark, base):
+    """Pages in their order, cut into windows, with one index over the document and their source."""
+    c = chunking.page_chunks(stored_pages(spark, base), _S, method="fixed", clean=False)
+    return c.select("id", "document_id", "page_number", "chunk_index", "start_char", "end_char", F.md5(F.encode("content", "UTF-8")).alias("hash"),
+                    F.col("source_info")["document_id"].alias("source_document"), F.col("source_info")["page_number"].alias("source_page"))
+
+
 _FIXED = rf"""
     WITH RECURSIVE src AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE {_strip('text')} <> ''),
     w AS (
@@ -242,6 +292,13 @@ _STOP = r"""CASE WHEN {start} + 1000 >= n THEN n
     ELSE {start} + 1000 END"""
 _FIXED = _FIXED.replace("{end0}", _STOP.replace("{start}", "0")).replace("{end1}", _STOP.replace("{start}", "start"))
 
+_PAGES = f"""WITH RECURSIVE pages AS (SELECT document_id, page_number, min(original_text) AS text FROM preprocessing_results
+        WHERE document_id IS NOT NULL AND page_number IS NOT NULL GROUP BY ALL), """ + _FIXED.strip().removeprefix("WITH RECURSIVE ").replace(
+    "SELECT doc_id, text, length(text) AS n FROM documents", "SELECT {'d': document_id, 'p': page_number} AS doc_id, text, length(text) AS n FROM pages"
+) + """, g AS (SELECT doc_id.d AS document_id, doc_id.p AS page_number, row_number() OVER (PARTITION BY doc_id.d ORDER BY doc_id.p, chunk_index) - 1 AS chunk_index,
+        start_char, end_char, content FROM k)"""
+_PAGE_ID = "document_id || '_chunk_' || lpad(chunk_index::VARCHAR, 4, '0')"
+
 _SENTENCE = rf"""
     WITH RECURSIVE p AS (
         SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)),
@@ -292,17 +349,28 @@ _CHUNKQ = rf"""
         * CASE WHEN c > 1 AND regexp_matches(b, '^[a-z]') THEN 0.9 ELSE 1.0 END * CASE WHEN c > 1 AND regexp_matches(b, '[a-zA-Z]$') THEN 0.9 ELSE 1.0 END), 6) END AS quality FROM s
 """
 _TYPE = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in P.TYPES
+    "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in line.split()[1:]) + f" THEN '{line.split(':')[0]}'" for line in SQL_TYPES
 ) + " ELSE 'general' END"
-_CONTRACT = "CASE regexp_replace(lower(w), '[^a-z0-9'']', '', 'g') " + " ".join(
-    f"WHEN {_sql(a)} THEN {_sql(b)} || regexp_replace(w, '[a-zA-Z0-9]', '', 'g')" for a, b in P.CONTRACTIONS.items()
-) + " ELSE w END"
+_LONG = "CASE regexp_replace(lower(w), '^[.,!?;:\"]+|[.,!?;:\"]+$', '', 'g') " + " ".join(
+    f"WHEN {_sql(x.strip().split('=')[0])} THEN {_sql(x.strip().split('=')[1])}" for x in SQL_LONG_FORMS.replace("\n", "").split("|")
+) + " END"
+_CONTRACT = rf"""CASE WHEN {_LONG} IS NULL THEN w ELSE CASE WHEN regexp_matches(w, '^\p{{Lu}}') THEN upper({_LONG}[1]) || {_LONG}[2:] ELSE {_LONG} END
+    || regexp_replace(w, '[a-zA-Z0-9]', '', 'g') END"""
 _SMART = rf"""array_to_string(list_transform({_tokens(_N)}, lambda w, i: CASE WHEN regexp_matches(w, '^\p{{Lu}}{{2,}}$')
     OR (regexp_matches(w, '^\p{{Lu}}') AND i > 1 AND NOT regexp_matches({_tokens(_N)}[i - 1], '[.!?]$')) THEN w ELSE lower(w) END), ' ')"""
 _SMART_TOKENS = rf"""array_to_string(list_transform({_tokens(_N)}, lambda w, i: CASE WHEN regexp_matches(w, '^\p{{Lu}}{{2,}}$')
     OR (regexp_matches(w, '^\p{{Lu}}') AND i > 1) THEN w ELSE lower(w) END), ' ')"""
 _COLLAPSE = _strip(_rx(_rx(_N, r"\n{3,}", "\n\n"), r"\s{2,}", " "))
-_MASKED = _strip(_rx(_rx(_rx(_rx(_rx(_rx(_N, P.URL, " [URL] "), P.EMAIL, " [EMAIL] "), P.PHONE, " [PHONE] "), P.PUNCTUATION, "."), r"\n{3,}", "\n\n"), r"\s{2,}", " "))
+_MASKED = f"replace({_rx(_N, SQL_CONTROL, '')}, '&amp;', '&')"
+for _pattern, _to in (
+    (SQL_TAG, " "), (SQL_URL, " [URL] "), (SQL_EMAIL, " [EMAIL] "), (SQL_PHONE, " [PHONE] "), (SQL_HEADING, ""), (SQL_LINK, r"\1"), (SQL_MARKS, "."), (r"\n{3,}", "\n\n"), (r"\s{2,}", " "),
+):
+    _MASKED = _rx(_MASKED, _pattern, _to)
+_MASKED = _strip(_MASKED)
+_REPEATED = "(1 - len(list_distinct(w))::DOUBLE / nullif(len(w), 0))"
+_SCORE = f"""least(1.0, CASE WHEN n < 10 THEN 0.5 ELSE 1.0::DOUBLE END * CASE WHEN n > 100000 THEN 0.8 ELSE 1.0 END * CASE WHEN len(w) < 3 THEN 0.6 ELSE 1.0 END
+    * CASE WHEN {_ALPHA}::DOUBLE / n < 0.5 THEN {_ALPHA}::DOUBLE / n / 0.5 ELSE 1.0 END * CASE WHEN len(w) > 1 AND {_REPEATED} > 0.3 THEN 1 - {_REPEATED} ELSE 1.0 END
+    * CASE WHEN regexp_matches(text, '[.!?]') THEN 1.1 ELSE 1.0 END)"""
 _HEADED = "('Head' || chr(10) || replace(text, '. ', '.' || chr(10) || 'Head' || chr(10)) || chr(10) || 'Head' || chr(10) || 'foot')"
 _COUNTS = f"c AS (SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY token)"
 
@@ -310,7 +378,7 @@ QUERIES = {
     "clean_text": (_hashed(T.clean_text), _sql_hashed(_CLEAN)),
     "fix_artifacts": (_hashed(T.fix_artifacts), _sql_hashed(_artifacts(_N))),
     "unicode_literals": (_hashed(lambda c: T.literal_replacements(T.normalizer("NFC")(c))), _sql_hashed(_literals(_N))),
-    "special_char_removal": (_hashed(T.remove_special_characters), _sql_hashed(_rx(_N, T.NOT_PLAIN, ""))),
+    "special_char_removal": (_hashed(T.remove_special_characters), _sql_hashed(_rx(_N, SQL_NOT_PLAIN, ""))),
     "page_text_cleanup": (_hashed(T.page_cleanup), _sql_hashed(
         f"array_to_string(list_filter(list_transform(string_split({_N}, chr(10)), lambda l: {_strip('l')}), lambda l: l <> ''), chr(10))")),
     "cleaning_stats": (cleaning_stats, f"""
@@ -346,27 +414,35 @@ QUERIES = {
         k AS (SELECT run_id, lower(e.key) AS key, trim(e.value) AS value FROM e UNION ALL SELECT run_id, 'kind', 'pdf' FROM r)
         SELECT run_id, key, value FROM k WHERE value IS NOT NULL AND value <> ''"""),
     "source_validation": (source_validation, """
-        SELECT ends_with(lower(file_path), '.pdf') AS is_pdf, count(*) AS files FROM (SELECT DISTINCT file_path FROM processing_results) GROUP BY 1"""),
-    "control_chars": (_hashed(P.strip_control), _sql_hashed(_rx(_N, P.CONTROL, ""))),
-    "html_strip": (_hashed(P.strip_tags), _sql_hashed(_rx(_N, P.TAG, " "))),
+        WITH f AS (SELECT DISTINCT file_path AS path, (length(file_path) - 12)::BIGINT * 1048576 AS size FROM processing_results),
+        e AS (SELECT path, 'no path' AS error FROM f WHERE path IS NULL OR trim(path) = '' UNION ALL SELECT path, 'not a PDF file' FROM f WHERE NOT ends_with(lower(path), '.pdf')
+            UNION ALL SELECT path, 'empty file' FROM f WHERE size <= 0 UNION ALL SELECT path, 'larger than 10 MB' FROM f WHERE size > 10 * 1048576)
+        SELECT path, error FROM e UNION ALL SELECT path, '' FROM f WHERE path NOT IN (SELECT path FROM e WHERE path IS NOT NULL) AND path IS NOT NULL"""),
+    "source_file_info": (source_file_info, """
+        SELECT DISTINCT file_path AS path, string_split(file_path, '/')[-1] AS file_name, (length(file_path) - 12)::BIGINT * 1048576 AS file_size_bytes FROM processing_results"""),
+    "control_chars": (_hashed(P.strip_control), _sql_hashed(_rx(_N, SQL_CONTROL, ""))),
+    "html_strip": (_hashed(P.strip_tags), _sql_hashed(_rx(_N, SQL_TAG, " "))),
     "html_entities": (_hashed(P.unescape_entities), _sql_hashed(f"replace({_N}, '&amp;', '&')")),
-    "mask_url": (_hashed(P.mask_urls), _sql_hashed(_rx(_N, P.URL, " [URL] "))),
-    "mask_email": (_hashed(P.mask_emails), _sql_hashed(_rx(_N, P.EMAIL, " [EMAIL] "))),
-    "mask_phone": (_hashed(P.mask_phones), _sql_hashed(_rx(_N, P.PHONE, " [PHONE] "))),
-    "citations": (_hashed(P.remove_citations), _sql_hashed(_rx(_N, P.CITATION, ""))),
-    "code_blocks": (_hashed(P.mask_code), _sql_hashed(_rx(_N, P.CODE, " [CODE] "))),
-    "markdown_clean": (_hashed(P.strip_markdown), _sql_hashed(_rx(_rx(_N, P.HEADING, ""), P.LINK, r"\1"))),
-    "punct_normalize": (_hashed(P.calm_punctuation), _sql_hashed(_rx(_N, P.PUNCTUATION, "."))),
+    "mask_url": (_hashed(P.mask_urls), _sql_hashed(_rx(_N, SQL_URL, " [URL] "))),
+    "mask_email": (_hashed(P.mask_emails), _sql_hashed(_rx(_N, SQL_EMAIL, " [EMAIL] "))),
+    "mask_phone": (_hashed(P.mask_phones), _sql_hashed(_rx(_N, SQL_PHONE, " [PHONE] "))),
+    "citations": (_hashed(P.remove_citations), _sql_hashed(_rx(_N, SQL_CITATION, ""))),
+    "code_blocks": (_hashed(P.mask_code), _sql_hashed(_rx(_N, SQL_CODE, " [CODE] "))),
+    "markdown_clean": (_hashed(P.strip_markdown), _sql_hashed(_rx(_rx(_N, SQL_HEADING, ""), SQL_LINK, r"\1"))),
+    "punct_normalize": (_hashed(P.calm_punctuation), _sql_hashed(_rx(_N, SQL_MARKS, "."))),
     "contractions": (_hashed(P.expand_contractions), _sql_hashed(f"array_to_string(list_transform({_tokens(_N)}, lambda w: {_CONTRACT}), ' ')")),
     "smart_lowercase": (_hashed(P.smart_lowercase), _sql_hashed(_SMART)),
     "lowercase": (_hashed(F.lower), _sql_hashed(f"lower({_N})")),
-    "accents_removed": (_hashed(P.remove_accents), None),
+    "accents_removed": (_hashed(P.remove_accents), _sql_hashed(f"strip_accents({_N})")),
     "whitespace_normalize": (_hashed(P.collapse_whitespace), _sql_hashed(_COLLAPSE)),
     "custom_patterns": (_hashed(lambda c: P.custom(c, [(r"\d+", "#"), (r"#(,#)+", "#")])), _sql_hashed(_rx(_rx(_N, r"\d+", "#"), r"#(,#)+", "#"))),
     "preprocess_metadata": (preprocess_metadata, f"""
-        WITH x AS (SELECT doc_id, {_N} AS b, {_MASKED} AS a FROM documents)
-        SELECT doc_id, length(b) AS original_length, length(a) AS processed_length, round(length(a)::DOUBLE / length(b), 6) AS compression_ratio,
-            len({_tokens('a')}) AS words, len(regexp_extract_all(a, '[.!?]')) AS sentence_marks FROM x"""),
+        WITH x AS (SELECT doc_id, {_N} AS b, doc_id % 10 = 0 AS blank, {_MASKED} AS text FROM documents), y AS (SELECT doc_id, b, blank, text, {_tokens('text')} AS w, length(text) AS n FROM x)
+        SELECT doc_id, md5(CASE WHEN blank THEN '' ELSE text END) AS hash, CASE WHEN blank THEN 0.0 ELSE round({_SCORE}, 6) END AS quality, CASE WHEN NOT blank THEN {_TYPE} END AS text_type,
+            CASE WHEN blank THEN 'empty_input' ELSE 'non_printable_removed,html_cleaned,urls_removed,emails_removed,phones_removed,markdown_cleaned,punctuation_normalized,whitespace_normalized' END AS transformations,
+            CASE WHEN NOT blank THEN length(b) END AS original_length, CASE WHEN NOT blank THEN n END AS processed_length, CASE WHEN NOT blank THEN round(n::DOUBLE / length(b), 6) END AS compression_ratio,
+            CASE WHEN NOT blank THEN len(w) END AS words, CASE WHEN NOT blank THEN len(regexp_extract_all(text, '[.!?]')) END AS sentence_marks,
+            CASE WHEN NOT blank THEN 'standard' END AS level, CASE WHEN NOT blank THEN 8 END AS steps FROM y"""),
     "preprocess_standard": (preprocess_standard, None),
     "preprocess_aggressive": (preprocess_aggressive, None),
     "text_quality_score": (text_quality, _QUALITY),
@@ -398,6 +474,8 @@ QUERIES = {
     "sentence_chunks": (sentence_chunks, _SENTENCE),
     "token_chunks": (token_chunks, _TOKEN),
     "recursive_chunks": (recursive_chunks, None),
+    "page_chunks": (page_chunks, _PAGES + f"""
+        SELECT {_PAGE_ID} AS id, document_id, page_number, chunk_index, start_char, end_char, md5(content) AS hash, document_id AS source_document, page_number::VARCHAR AS source_page FROM g"""),
     "chunk_quality": (chunk_quality, _CHUNKQ),
     "chunk_validation": (chunk_validation, f"""
         WITH t AS (SELECT DISTINCT id, content FROM text_chunks WHERE content IS NOT NULL),
