@@ -48,6 +48,34 @@ RECOMMENDED = {
 }
 
 
+def recommended(kind: str = "general") -> tuple[str, ChunkSettings]:
+    """The chunker and settings for a kind of document; an unknown kind is treated as general."""
+    return RECOMMENDED.get(kind, RECOMMENDED["general"])
+
+
+@dataclass(frozen=True)
+class SourceSettings:
+    max_file_size_mb: int = 100
+    timeout_seconds: int = 300
+
+    def __post_init__(self):
+        require(self.max_file_size_mb > 0, "max_file_size_mb must be positive")
+        require(self.timeout_seconds > 0, "timeout_seconds must be positive")
+
+
+@dataclass(frozen=True)
+class EmbeddingSettings:
+    model_name: str
+    batch_size: int = 32
+    max_retries: int = 3
+
+    def __post_init__(self):
+        require(bool(self.model_name and self.model_name.strip()), "model_name cannot be empty")
+        object.__setattr__(self, "model_name", self.model_name.strip())
+        require(self.batch_size > 0, "batch_size must be positive")
+        require(self.max_retries >= 0, "max_retries must be non-negative")
+
+
 @dataclass(frozen=True)
 class SearchQuery:
     """A vector query: nearest ``n_results`` among the rows that pass ``where`` and ``where_document``."""

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.config import ChunkSettings, ConfigurationError
-from corpusloom.functions.text import strip, tokens
+from corpusloom.functions.text import clean_text, strip, tokens
 from corpusloom.runtime import spread
 
 _CHUNKS = "chunk_index int, start_char int, end_char int, content string"
@@ -151,16 +151,18 @@ def token_chunks(texts: DataFrame, s: ChunkSettings | None = None, *, id_col: st
         "back": F.floor(s.chunk_overlap / average).cast("int"),
     })
     step = F.greatest(F.lit(1), F.col("target") - F.col("back"))
-    last = F.greatest(F.lit(0), F.ceil((count - F.col("target")) / step)).cast("int")
-    windows = t.select("id", "words", "target", step.alias("step"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    cut = windows.select(
-        "id", "k", (F.col("k") * F.col("step")).alias("start_token"),
-        F.least(F.size("words"), F.col("k") * F.col("step") + F.col("target")).cast("int").alias("end_token"),
-        F.array_join(F.slice("words", F.col("k") * F.col("step") + 1, F.col("target")), " ").alias("content"),
-    )
-    kept = cut.where(F.length("content") >= s.min_chunk_size)
-    index = F.row_number().over(W.partitionBy("id").orderBy("k")) - 1
-    return kept.select("id", index.alias("chunk_index"), "start_token", "end_token", "content")
+    last = F.greatest(F.lit(0), F.ceil((count - F.col("target")) / F.col("step"))).cast("int")
+    t = t.withColumn("step", step)
+
+    def window(k: Column) -> Column:
+        start = (k * F.col("step")).cast("int")
+        return F.struct(
+            start.alias("start_token"), F.least(count, start + F.col("target")).cast("int").alias("end_token"),
+            F.array_join(F.slice("words", start + 1, F.col("target")), " ").alias("content"),
+        )
+
+    windows = F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda w: F.length(w["content"]) >= s.min_chunk_size)
+    return t.select("id", F.posexplode(windows).alias("chunk_index", "w")).select("id", "chunk_index", "w.start_token", "w.end_token", "w.content")
 
 
 CHUNKERS = {"fixed": fixed_chunks, "sentence": sentence_chunks, "token": token_chunks, "recursive": recursive_chunks}
@@ -182,10 +184,53 @@ def with_overlaps(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("overlap_with_next", F.greatest(F.lit(0), F.col("end_char") - F.lead("start_char").over(w)))
 
 
+_PAGES_A_BLOCK = 1024
+
+
+def page_offsets(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, offset): how many chunks stand before a page, from (document_id, page_number, n).
+
+    Pages are summed within blocks and blocks within documents, so that a document of very many pages is spread over tasks.
+    """
+    p = pages.withColumn("block", F.floor(F.col("page_number") / _PAGES_A_BLOCK))
+    blocks = p.groupBy("document_id", "block").agg(F.sum("n").alias("m"))
+    over = W.partitionBy("document_id").orderBy("block")
+    before = blocks.select("document_id", "block", (F.sum("m").over(over) - F.col("m")).alias("before"))
+    within = W.partitionBy("document_id", "block").orderBy("page_number")
+    return (
+        p.withColumn("inside", F.sum("n").over(within) - F.col("n")).join(before, ["document_id", "block"])
+        .select("document_id", "page_number", (F.col("before") + F.col("inside")).alias("offset"))
+    )
+
+
 def with_global_index(chunks: DataFrame) -> DataFrame:
     """One running index over the pages of a document."""
-    w = W.partitionBy("document_id").orderBy("page_number", "chunk_index", "id")
-    return chunks.withColumn("global_index", F.row_number().over(w) - 1)
+    within = W.partitionBy("document_id", "page_number").orderBy("chunk_index", "id")
+    counts = chunks.groupBy("document_id", "page_number").agg(F.count("*").alias("n"))
+    placed = chunks.withColumn("_place", F.row_number().over(within) - 1).join(page_offsets(counts), ["document_id", "page_number"])
+    return placed.withColumn("global_index", (F.col("offset") + F.col("_place")).cast("int")).drop("_place", "offset")
+
+
+def page_chunks(
+    pages: DataFrame, s: ChunkSettings | None = None, *, method: str = "recursive", clean: bool = True, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """The chunks of (document_id, page_number, text): pages in their order, blank ones skipped, with one index over the document.
+
+    Each chunk has its id, its offsets in the (cleaned) page and ``source_info``: document, page and the entries of ``extra``. A page that comes
+    more than once counts once, with its least text.
+    """
+    text = clean_text(F.col("text")) if clean else F.col("text")
+    once = pages.where("document_id is not null and page_number is not null").groupBy("document_id", "page_number").agg(F.min("text").alias("text"))
+    key = F.struct(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"))
+    cut = chunker(method)(once.select(F.to_json(key).alias("key"), text.alias("text")).where(strip(F.col("text")) != ""), s, id_col="key", text_col="text")
+    place = F.from_json("id", "document_id string, page_number int")
+    flat = cut.select(place.alias("p"), "chunk_index", "start_char", "end_char", "content").select("p.*", "chunk_index", "start_char", "end_char", "content", F.lit("").alias("id"))
+    numbered = with_global_index(flat)
+    entries = {"document_id": F.col("document_id"), "page_number": F.col("page_number").cast("string"), **(extra or {})}
+    return numbered.select(
+        chunk_id(F.col("document_id"), F.col("global_index")).alias("id"), "document_id", "page_number", F.col("global_index").alias("chunk_index"),
+        "start_char", "end_char", "content", F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)]).alias("source_info"),
+    )
 
 
 def chunk_quality(c: Column, min_chunk_size: int = 100) -> Column:

@@ -65,7 +65,7 @@ def by_hand(text, level, text_type):
     if text_type != "code":
         text = re.sub(P.PUNCTUATION, ".", text)
     if aggressive or text_type == "social_media":
-        text = " ".join({"It's": "it is'", "Don\'t": "do not\'"}.get(w, w) for w in text.split())
+        text = " ".join({"It's": "It is'", "Don\'t": "Do not\'"}.get(w, w) for w in text.split())
     if aggressive and text_type == "academic":
         words = text.split()
         starts = [k == 0 or words[k - 1][-1] in ".!?" for k in range(len(words))]
@@ -126,6 +126,26 @@ def test_search(spark):
     assert [r.vec_id for r in search.search(v, SearchQuery((1.0, 0.0), 4, "cosine", {"label": 1}, None, 0.5)).collect()] == [0, 2]
     assert [r.vec_id for r in search.similar(v, 0, 1).collect()] == [2]
     assert search.search_many(v, v.where("vec_id = 99")).count() == 0
+    odd = v.unionByName(spark.createDataFrame([(4, [-1.0, 0.1], 1), (5, [1.0], 1), (6, None, 1)], v.schema))
+    for block_values in (4_000_000, 4):  # one block of queries, and several that are shuffled
+        got = [(r.query_id, r.vec_id, r["rank"]) for r in search.search_many(odd, odd.where("vec_id in (0, 3, 5)"), 9, block_values=block_values).collect()]
+        assert sorted(got) == [(0, 1, 2), (0, 2, 1), (0, 4, 3)], "no vector without length or of another dimension asks or is found"
+        two_sets = search.search_many(v, v.where("vec_id = 0"), 1, same_set=False, block_values=block_values)
+        assert [(r.query_id, r.vec_id, r.score) for r in two_sets.collect()] == [(0, 0, 1.0)]
+
+
+def test_search_many_blocks(spark, small):
+    v = table(spark, small, "embeddings")
+    q = v.where("vec_id % 50 = 0")
+    whole = sorted(map(tuple, search.search_many(v, q, 5).collect()))
+    assert whole == sorted(map(tuple, search.search_many(v, q, 5, block_values=320).collect())) and len(whole) == 50
+
+
+def test_search_within(spark):
+    c = spark.createDataFrame([("a", "d", 1, [1.0, 0.0]), ("b", "d", 2, [1.0, 0.1]), ("c", "e", 1, [1.0, 0.0])], "id string, document_id string, page_number int, embedding array<float>")
+    q = SearchQuery((1.0, 0.0), 5, where={"id": {"$ne": "x"}})
+    assert [r.id for r in search.similar_within(c, q, document="d").collect()] == ["a", "b"]
+    assert [r.id for r in search.similar_within(c, q, document="d", page=2).collect()] == ["b"]
 
 
 def test_quality_matrices(spark):
@@ -137,6 +157,95 @@ def test_quality_matrices(spark):
     assert embedding_quality.outliers(far).first().outliers == 1
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    for values in ([3.0], [1.0, 2.0], [5.0] * 50, list(rng.normal(size=500)), [0.0] * 300 + list(rng.random(300) ** 9)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = embedding_quality.exact_quantiles(df, "v", [0.0, 0.25, 0.75, 1.0], few=20)
+        assert np.allclose(got, np.quantile(values, [0.0, 0.25, 0.75, 1.0]))
+    assert embedding_quality.exact_quantiles(df.limit(0), "v", [0.5]) is None
+
+
+def test_few_vectors(spark):
+    v = spark.createDataFrame([(k, [float(k), 1.0], 0) for k in range(9)], "vec_id long, embedding array<float>, label int")
+    assert {r.cluster for r in embedding_quality.clusters(v).collect()} == {0}
+    assert embedding_quality.inter_cluster(v).first().pairs == 0
+    assert embedding_quality.pairwise_cosine(v.limit(0)).first().vectors == 0
+
+
+def test_preprocess_results(spark):
+    rows = spark.createDataFrame([(1, "See https://e.org/a now."), (2, "  "), (3, None)], "k int, original_text string")
+    got = {r.k: r for r in P.preprocess_results(rows, P.preset("standard")).collect()}
+    assert got[1].processed_text == "See [URL] now." and got[1].transformations[0] == "unicode_normalized" and got[1].metadata.transformations_count == len(got[1].transformations)
+    for k in (2, 3):
+        assert (got[k].processed_text, got[k].quality_score, got[k].text_type, got[k].transformations) == ("", 0.0, None, ["empty_input"])
+
+
+def test_running_lines(spark):
+    text = "\n".join(["Head", "one", "Head ", "two", " Head", "three", "4", "5", "6", "7"])
+    rows = spark.createDataFrame([(1, text), (1, "Head\nHead\nHead"), (2, None)], "doc_id int, text string")
+    got = sorted((tuple(r) for r in pages.remove_running_lines(rows).collect()), key=str)
+    assert got == [(1, "Head\nHead\nHead", 0), (1, "one\ntwo\nthree\n4\n5\n6\n7", 3), (2, None, 0)]
+
+
+def test_page_chunks(spark):
+    rows = [("d", 2, "second page here"), ("d", 1, "first page of all"), ("d", 3, "  "), ("d", 4, None), (None, 1, "lost"), ("e", 1, "other"), ("d", 1, "first page of all")]
+    s = ChunkSettings(10, 0, 1)
+    c = chunking.page_chunks(spark.createDataFrame(rows, "document_id string, page_number int, text string"), s, method="fixed", extra={"kind": F.lit("scan")})
+    got = {r.id: r for r in c.collect()}
+    assert [got[f"d_chunk_{k:04d}"].page_number for k in range(4)] == [1, 1, 2, 2] and set(got) == {*(f"d_chunk_{k:04d}" for k in range(4)), "e_chunk_0000"}
+    assert got["d_chunk_0002"].source_info == {"document_id": "d", "page_number": "2", "kind": "scan"}
+    assert [got[f"d_chunk_{k:04d}"].content for k in range(4)] == ["first page", "of all", "second", "page here"]
+    e = embedding.embed_chunks(c, embedding.hash_embedder(8), model="m")
+    assert e.count() == 5 and {(r.dimension, r.model) for r in e.collect()} == {(8, "m")}
+
+
+def test_page_offsets_over_blocks(spark):
+    rows = [("d", p, 1 + p % 3) for p in range(0, 5000, 7)]
+    got = {r.page_number: r.offset for r in chunking.page_offsets(spark.createDataFrame(rows, "document_id string, page_number int, n long")).collect()}
+    total = 0
+    for _, p, n in rows:
+        assert got[p] == total
+        total += n
+
+
+def test_back_off():
+    import itertools
+
+    def first(n, *a, **k):
+        return list(itertools.islice(embedding.pauses(*a, **k), n))
+
+    assert first(4, "fixed", 2.0) == [2, 2, 2, 2] and first(4, "linear", 1.0) == [1, 2, 3, 4]
+    assert first(4, "exponential", 1.0, max_delay=5) == [1, 2, 4, 5] and first(6, "fibonacci", 1.0) == [1, 1, 2, 3, 5, 8]
+
+    def denied(_):
+        raise PermissionError
+
+    with pytest.raises(PermissionError):
+        embedding.with_retry(denied, 9, 100.0, final=(PermissionError,))(["x"])
+
+
+def test_validated_files(spark):
+    files = spark.createDataFrame([("a.pdf", 10, b"%PDF-1.7 x"), ("b.txt", 10, b"%PDF"), ("c.pdf", 0, b""), ("d.pdf", 3_000_000, b"none"), (None, 1, None)], "path string, length long, content binary")
+    good, bad = pages.validated(files, max_mb=2, with_content=True)
+    assert [r.path for r in good.collect()] == ["a.pdf"]
+    assert {(r.path, r.error) for r in bad.collect()} >= {("b.txt", "not a PDF file"), ("c.pdf", "empty file"), ("d.pdf", "larger than 2 MB"), ("d.pdf", "no PDF header"), (None, "no path")}
+    meta = files.limit(1).select(pages.document_metadata(F.create_map(F.lit("Title"), F.lit(" T ")), F.lit(3), F.col("content")).alias("m")).first().m
+    assert meta == {"title": "T", "page_count": "3", "is_pdf": "true", "pdf_version": "1.7", "is_encrypted": "false"}
+
+
+def test_stream_counts_each_chunk_once(spark, tmp_path):
+    from corpusloom.streaming import ingest
+
+    day = "timestamp'2024-01-10 00:00:00'"
+    rows = spark.sql(f"select * from values ('a', {day}, 'xx'), ('a', {day}, 'xx'), ('b', {day}, null), ('c', null, 'y') as t(id, created_at, content)")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for turn in (1, 2):  # the second run finds nothing new
+        stream = ingest.first_deliveries(ingest.chunk_stream(spark, f"{tmp_path}/in"))
+        out = ingest.run_to_end(stream, ingest.counts_by_month, "w", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        assert [(r.chunks, r.characters) for r in out.collect()] == [(2, 2)], turn
+
+
 def test_store(spark, tmp_path):
     c = store.Collection(spark, str(tmp_path), "things")
     rows = spark.createDataFrame([("a", "d1", 1, "x"), ("b", "d1", 2, "y"), ("c", "d2", 1, "z")], "id string, document_id string, page_number int, content string")
@@ -147,6 +256,24 @@ def test_store(spark, tmp_path):
     assert c.get("a").content == "new" and c.count() == 3
     assert c.delete_document("d1") == 2 and c.delete_document("d1") == 0
     assert store.list_collections(spark, str(tmp_path)) == ["things"]
+    with pytest.raises(ConfigurationError):
+        c.add(rows.limit(0))
+    with pytest.raises(ConfigurationError):
+        c.add(spark.createDataFrame([("q", "d3", 1, "x"), ("q", "d3", 1, "x")], rows.schema))
+    before = c.versions()
+    c.add(spark.createDataFrame([("e", "d2", 2, "w", 1.5)], "id string, document_id string, page_number int, content string, score double"))
+    assert {r.id: r.score for r in c.read().collect()} == {"c": None, "e": 1.5} and c.read(before[-1]).count() == 1
+    untouched = c._manifest()["buckets"]
+    c.delete(spark.createDataFrame([("e",)], "id string"))
+    c.delete_where({"page_number": 7})
+    assert c.count() == 1 and len(untouched) == 1
+    taken = c._manifest()
+    with pytest.raises(ConfigurationError, match="someone else"):
+        c._publish(taken)
+    c.vacuum(1)
+    assert len(c.versions()) == 1 and c.count() == 1
+    c.clear()
+    assert c.count() == 0 and c.exists()
     c.drop()
     assert not c.exists()
 
@@ -186,3 +313,5 @@ def test_embedding(spark):
     assert embedding.with_retry(flaky, 3, 0.0)(["x"]).shape == (1, 1)
     cache = spark.createDataFrame([("x",)], "key string")
     assert embedding.cache_misses(t, cache, "m").count() == 3
+    found, fresh = embedding.cached_embeddings(t.where("text is not null"), cache.withColumn("embedding", F.array(F.lit(1.0).cast("float"))), "m", embedding.hash_embedder(8))
+    assert found.count() == fresh.count() == 2
