@@ -133,22 +133,17 @@ def with_limits(items: DataFrame, configs: DataFrame, *, id_col: str = "id", tex
     limits = configs.select(
         F.col("config_id").alias("name"), F.col("chunk_size").alias("size"), F.col("chunk_overlap").alias("overlap"), "separators"
     ).dropDuplicates(["name"])
-    usual = limits.where("name = 'default'").select(
-        F.col("name").alias("fallback"), F.col("size").alias("size_0"), F.col("overlap").alias("overlap_0"), F.col("separators").alias("separators_0")
-    )
+    usual = limits.where("name = 'default'").select("size", "overlap", "separators").collect()  # one row, as names are unique
+    size, overlap, separators = usual[0] if usual else (None, None, None)
+    parts = F.lit(None).cast("array<string>") if separators is None else F.array(*[F.lit(x) for x in separators]).cast("array<string>")
     named = items.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(config_col, F.lit("default")).alias("name")
     )
-    return (
-        named.join(broadcast_if_small(limits), "name", "left")
-        .withColumn("fallback", F.lit("default"))
-        .join(F.broadcast(usual), "fallback", "left")  # one row
-        .select(
-            "id", "text",
-            F.coalesce("size", "size_0").alias("size"),
-            F.coalesce("overlap", "overlap_0").alias("overlap"),
-            F.coalesce("separators", "separators_0").alias("separators"),
-        )
+    return named.join(broadcast_if_small(limits), "name", "left").select(
+        "id", "text",
+        F.coalesce("size", F.lit(size).cast("int")).alias("size"),
+        F.coalesce("overlap", F.lit(overlap).cast("int")).alias("overlap"),
+        F.coalesce("separators", parts).alias("separators"),
     )
 
 

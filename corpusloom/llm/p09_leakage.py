@@ -6,9 +6,9 @@ found in them by binary search, word by word. A range of suffixes that share the
 least number of words is a verbatim match; it is then extended to its full length
 and reported with its place in both texts.
 
-Scale: one pass over the corpus without a shuffle of texts. The items, held-out and
+Scale: a pass over the corpus for each block of items, without a shuffle of texts. The items, held-out and
 small, travel in blocks of a bounded size; more items mean more blocks, not larger
-ones. Words that no item has separate the runs of a shard, and only
+ones, and all items of today's tables are one block. Words that no item has separate the runs of a shard, and only
 suffixes that begin with enough item words in a row are sorted, so clean text
 costs little more than its tokenization.
 

@@ -138,6 +138,11 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p9_clean(spark: SparkSession, base: str) -> DataFrame:
+    """The documents that are left when those with passages are removed."""
+    return p09.without_leaks(table(spark, base, "documents"), p9_passages(spark, base)).select("doc_id")
+
+
 def _truncated(spark: SparkSession, base: str) -> DataFrame:
     return p10.truncated(table(spark, base, "documents"), table(spark, base, "common_words"))
 
@@ -153,18 +158,39 @@ def p10_report(spark: SparkSession, base: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_statistics, p3_documents, p4_found, p4_classes, p4_forms, p5_found, p5_segments,
-        p6_found, p6_restored, p7_found, p7_paragraphs, p8_assignment, p8_fill, p9_found, p9_passages, p10_found, p10_report,
+        p6_found, p6_restored, p7_found, p7_paragraphs, p8_assignment, p8_fill, p9_found, p9_passages, p9_clean, p10_found, p10_report,
     )
     return {f.__name__: f for f in found}
 
 
-#: Problem 2 is plain SQL; the other operators are tested against brute force and invariants.
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_LEAKS = f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items),
+        dk AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13), ik AS (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM dk), ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM ik)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+#: What SQL can say about whole tables; the other operators are tested against brute force and invariants.
 _ORACLES = {
+    "p1_found": f"""
+        WITH t AS (SELECT DISTINCT id, {_WORDS.format('content')} AS w FROM text_chunks WHERE content IS NOT NULL),
+        c AS (SELECT w, min(id) AS rep FROM t WHERE len(w) >= 20 GROUP BY w),
+        m AS (SELECT t.id, c.rep FROM t JOIN c USING (w)),
+        s AS (SELECT DISTINCT rep, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT rep, w, unnest(range(1, len(w) - 1)) AS k FROM c)),
+        z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+        p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+        l AS (SELECT p.a, p.b FROM p JOIN z x ON x.rep = p.a JOIN z y ON y.rep = p.b WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9),
+        f AS (SELECT x.id AS i, y.id AS j FROM l JOIN m x ON x.rep = l.a JOIN m y ON y.rep = l.b
+              UNION SELECT x.id, y.id FROM m x JOIN m y ON x.rep = y.rep AND x.id < y.id)
+        SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM f
+    """,
     "p2_found": """
         SELECT DISTINCT t.id FROM text_chunks t
         JOIN text_processing_configs c ON c.config_id = coalesce(t.config_id, 'default')
         WHERE length(t.content) > c.chunk_size
     """,
+    "p9_found": _LEAKS,
+    "p9_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_LEAKS}))",
 }
 
 

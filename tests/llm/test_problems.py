@@ -1,6 +1,8 @@
 """The numbered problems: brute force, invariants and edge cases on small tables."""
 
+import glob
 import itertools
+import os
 import random
 import re
 from collections import Counter
@@ -526,6 +528,20 @@ def test_p7_context_chooses_the_form(spark):
         assert [r.text for r in out] == [f"{dear}.", f"{clear}."], (forms, most)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    base = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for f in glob.glob(f"{base}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    ran = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in ran.description]
+    want = sorted(ran.fetchall())
+    assert sorted(tuple(r) for r in queries.queries()[name](spark, base).select(*columns).collect()) == want and want
+
+
 def test_all_queries_run(spark, small):
     for name, run in queries.queries().items():
         assert run(spark, small).limit(1).count() in (0, 1), name
