@@ -56,7 +56,8 @@ _NUMBER = re.compile(
 )
 _TAIL_NUMBER = re.compile(r"^\s*\d{1,5}\s{2,}(?=\D)|(?<=\S)\s{2,}\d{1,5}\s*$")
 _COUNT_AT = 300_000
-_EDGE = 2
+_EDGE = 2  # lines at the top and foot that may be page numbers
+_HEADS = 4  # and that may be headers
 _DOUBT = 10  # misreadings taken to stand in clean texts only, while few were seen
 
 # Glyphs that scanning confuses, each brought to one of its class.
@@ -381,11 +382,15 @@ def skeleton_text(line: str) -> str:
     return re.sub(r"[^\W_]+", lambda m: "#" if m.group().isdigit() else skeleton(m.group()), line)
 
 
-def edge_lines(text: str) -> list[str]:
-    """The first and last lines of a page that could be a header or number: short, without a sentence's end."""
+def edge_lines(text: str, edge: int = _EDGE, longest: int = 100) -> list[str]:
+    """The first and last lines of a page that could be a header or number: short."""
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    edges = lines[:_EDGE] + lines[max(_EDGE, len(lines) - _EDGE) :]
-    return [x for x in edges if len(x) < 100] if len(lines) > 1 else []
+    edges = lines[:edge] + lines[max(edge, len(lines) - edge) :]
+    return [x for x in edges if len(x) < longest] if len(lines) > 1 else []
+
+
+def head_lines(text: str) -> list[str]:
+    return edge_lines(text, _HEADS, 200)
 
 
 _FEATURES = "document_id string, page_number int, look bigint, broken boolean, misread int, sure boolean, numbered boolean, edges array<string>"
@@ -406,7 +411,7 @@ def _features(known: dict[str, int] | None):
                 misread.append(len(found))
                 sure.append(any(len(t) > 2 or not t.isalpha() for t in found))  # two letters may be a foreign word
                 numbered.append(any(_NUMBER.match(x) for x in lines))
-                edges.append(list(dict.fromkeys(k for x in lines for k in header_keys(x, page))))
+                edges.append(list(dict.fromkeys(k for x in head_lines(text) for k in header_keys(x, page))))
             columns = [pa.array(docs, pa.string()), pa.array(pages, pa.int32()), pa.array(look, pa.int64()), pa.array(broken), pa.array(misread, pa.int32())]
             columns += [pa.array(sure), pa.array(numbered), pa.array(edges, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["document_id", "page_number", "look", "broken", "misread", "sure", "numbered", "edges"])
@@ -466,11 +471,12 @@ _EDITED = "document_id string, page_number int, text string, lines array<string>
 
 
 def _stripped(reader: Reader, page: int, text: str, drop: set[str]) -> str:
-    edges = set(edge_lines(text))
-    return "\n".join(
-        x for x in text.split("\n")
-        if not (x.strip() in edges and (_NUMBER.match(x.strip()) or not drop.isdisjoint(header_keys(x.strip(), page))))
-    )
+    edges, heads = set(edge_lines(text)), set(head_lines(text))
+
+    def goes(line: str) -> bool:
+        return bool(line in edges and _NUMBER.match(line)) or (line in heads and not drop.isdisjoint(header_keys(line, page)))
+
+    return "\n".join(x for x in text.split("\n") if not goes(x.strip()))
 
 
 def _joined(reader: Reader, page: int, text: str, drop: set[str]) -> str:

@@ -516,6 +516,18 @@ def test_p10_columns(spark):
     assert {(r.id, r.column) for r in found.collect()} == {(1, "title"), (3, "text")}
 
 
+def test_p7_headers_of_several_lines(spark):
+    prose = "the page reader keeps every number in order and the table writes the number again"
+    head = "Storage Quarterly\nReports And Manuals Of The Archive And Everything That Belongs To It, With All Its Parts, Appendices And Tables\nFifth Edition\nVolume Two"
+    rows = [(f"n{k}", 1, 0, f"{prose} for part {k}.") for k in range(30)] + [("h", k, -1, f"{head}\n{prose}\nand {prose}\nand {prose}\nand {prose} in {k}.") for k in range(1, 5)]
+    pages = spark.createDataFrame(rows, "document_id string, page_number int, part int, text string")
+    known = p07.frequent_forms(pages.select("text"))
+    noise, headers = p07.page_noise(pages, known)
+    assert {tuple(r) for r in p07.noisy_pages(noise).collect()} == {("h", k) for k in range(1, 5)}
+    text = " ".join(r.text for r in p07.repaired_paragraphs(pages, noise, headers, known).collect())
+    assert not any(w in text for w in ("Quarterly", "Appendices", "Edition", "Volume")) and text.count("in order") == 16
+
+
 def test_p7_context_chooses_the_form(spark):
     clear, dear = "the water is clear today", "many greetings dear reader and friend"
     rows = [(f"a{k}", 1, 0, f"{clear} in {k}.") for k in range(40)] + [(f"b{k}", 1, 0, f"{dear} in {k}.") for k in range(15)]
