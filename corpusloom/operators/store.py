@@ -18,8 +18,6 @@ from pyspark.sql.types import StructType
 from corpusloom.config import CollectionNotFoundError, ConfigurationError, DocumentNotFoundError, collection_name
 from corpusloom.operators.filters import predicate
 
-_SPLITS = 8  # tasks that write a bucket
-
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """All rows of ``new``, and those of ``old`` whose key isn't among them."""
@@ -94,7 +92,7 @@ class Collection:
         """Writes rows to a new folder; its name and the buckets in it."""
         folder = uuid.uuid4().hex
         placed = df.withColumn("_bucket", self._bucket(df, buckets))
-        (placed.repartition(F.col("_bucket"), F.pmod(F.xxhash64("id"), F.lit(_SPLITS))).write.partitionBy("_bucket").parquet(f"{self.root}/data/{folder}"))
+        placed.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.root}/data/{folder}")  # a hot bucket is split, small ones are put together
         return folder, [n.split("=")[1] for n in self._names(f"data/{folder}") if n.startswith("_bucket=")]
 
     def _rows(self, manifest: dict, only: set[str] | None = None) -> DataFrame:
@@ -106,7 +104,7 @@ class Collection:
     def _merged(old: StructType, new: StructType) -> dict:
         return StructType([*old.fields, *[f for f in new.fields if f.name not in old.fieldNames()]]).jsonValue()
 
-    def create(self, chunks: DataFrame, buckets: int = 64) -> None:
+    def create(self, chunks: DataFrame, buckets: int = 16) -> None:
         if self.exists():
             raise ConfigurationError(f"collection {self.name} exists")
         folder, written = self._write(chunks, buckets)
