@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.config import ChunkSettings, ConfigurationError
+from corpusloom.config import ChunkSettings, ConfigurationError, recommended
 from corpusloom.functions.text import clean_text, strip, tokens
 from corpusloom.runtime import spread
 
@@ -174,6 +174,12 @@ def chunker(name: str):
     return CHUNKERS[name]
 
 
+def recommended_chunks(texts: DataFrame, kind: str = "general", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks by the chunker and settings that suit a kind of document."""
+    name, s = recommended(kind)
+    return chunker(name)(texts, s, id_col=id_col, text_col=text_col)
+
+
 def chunk_id(document: Column, index: Column) -> Column:
     return F.format_string("%s_chunk_%04d", document.cast("string"), index)
 

@@ -64,6 +64,14 @@ def metadata_filter(spark, base):
     return c.where(predicate(c, {"author": {"$in": ["vector crew", "archive group"]}, "page_number": {"$gte": 2}})).select("id", "page_number")
 
 
+def combined_filter(spark, base):
+    from corpusloom.operators.filters import content_predicate, predicate
+
+    c = _chunks(spark, base)
+    where = {"$or": [{"page_number": {"$gt": 2, "$ne": 5}, "config_id": {"$nin": ["default", "small"]}}, {"chunk_index": {"$lt": 2}}]}
+    return c.where(predicate(c, where)).where(content_predicate({"$not_contains": "footnote"})).select("id")
+
+
 def content_filter(spark, base):
     from corpusloom.operators.filters import content_predicate
 
@@ -180,6 +188,9 @@ QUERIES = {
         WITH {_ONCE} SELECT id, document_id, page_number FROM x WHERE document_id IN (SELECT document_id FROM preprocessing_results WHERE page_number IS NOT NULL)"""),
     "metadata_filter": (metadata_filter, """
         SELECT DISTINCT id, page_number FROM text_chunks WHERE source_info['author'] IN ('vector crew', 'archive group') AND page_number >= 2"""),
+    "combined_filter": (combined_filter, """
+        SELECT DISTINCT id FROM text_chunks WHERE ((page_number > 2 AND page_number <> 5 AND config_id NOT IN ('default', 'small')) OR chunk_index < 2)
+        AND NOT contains(content, 'footnote')"""),
     "content_filter": (content_filter, "SELECT DISTINCT id FROM text_chunks WHERE contains(content, 'footnote')"),
     "store_layouts": (store_layouts, """
         WITH x AS (SELECT DISTINCT id, content, source_info FROM text_chunks WHERE content IS NOT NULL),

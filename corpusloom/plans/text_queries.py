@@ -231,6 +231,11 @@ def sentence_chunks(spark, base):
     return c.select(F.col("id").alias("doc_id"), "chunk_index", F.length("content").alias("chars"), F.md5(F.encode("content", "UTF-8")).alias("hash"))
 
 
+def recommended_chunks(spark, base):
+    c = chunking.recommended_chunks(_docs(spark, base), "general")
+    return c.select(F.col("id").alias("doc_id"), "chunk_index", F.length("content").alias("chars"), F.md5(F.encode("content", "UTF-8")).alias("hash"))
+
+
 def token_chunks(spark, base):
     c = chunking.token_chunks(_docs(spark, base), _S)
     return c.select(F.col("id").alias("doc_id"), "chunk_index", "start_token", "end_token", F.md5(F.encode("content", "UTF-8")).alias("hash"))
@@ -376,6 +381,7 @@ _COUNTS = f"c AS (SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text
 
 QUERIES = {
     "clean_text": (_hashed(T.clean_text), _sql_hashed(_CLEAN)),
+    "clean_text_flat": (_hashed(lambda c: T.clean_text(c, preserve_structure=False)), _sql_hashed(_strip(_rx(_artifacts(_literals(_N)), r"\s+", " ")))),
     "fix_artifacts": (_hashed(T.fix_artifacts), _sql_hashed(_artifacts(_N))),
     "unicode_literals": (_hashed(lambda c: T.literal_replacements(T.normalizer("NFC")(c))), _sql_hashed(_literals(_N))),
     "special_char_removal": (_hashed(T.remove_special_characters), _sql_hashed(_rx(_N, SQL_NOT_PLAIN, ""))),
@@ -464,6 +470,8 @@ QUERIES = {
     "token_smart_lowercase": (_hashed(K.smart_lowercase_tokens), _sql_hashed(_SMART_TOKENS)),
     "token_normalize": (_hashed(lambda c: K.normalize_tokens(c, remove_punctuation=True, remove_digits=True)), _sql_hashed(
         _strip(_rx(_rx(_rx(f"lower({_N})", r"[^\p{L}\p{N}_\s]", " "), r"\d+", ""), r"\s+", " ")))),
+    "token_normalize_accents": (_hashed(lambda c: K.normalize_tokens(c, accents=True, remove_punctuation=True)), _sql_hashed(
+        _strip(_rx(_rx(f"lower(strip_accents({_N}))", r"[^\p{L}\p{N}_\s]", " "), r"\s+", " ")))),
     "embed_validate": (_hashed(T.for_embedding), _sql_hashed(
         f"CASE WHEN {_strip(_rx(_N, chr(92) + 's+', ' '))} = '' THEN '[EMPTY]' ELSE {_strip(_rx(_N, chr(92) + 's+', ' '))} END")),
     "previews": (_hashed(lambda c: T.preview(c, 300)), _sql_hashed(f"CASE WHEN length({_N}) > 300 THEN substr({_N}, 1, 300) || '...' ELSE {_N} END")),
@@ -472,6 +480,7 @@ QUERIES = {
         SELECT doc_id, chunk_index, greatest(0, end_char - lead(start_char) OVER (PARTITION BY doc_id ORDER BY chunk_index)) AS overlap_with_next,
             doc_id || '_chunk_' || lpad(chunk_index::VARCHAR, 4, '0') AS chunk_id FROM k"""),
     "sentence_chunks": (sentence_chunks, _SENTENCE),
+    "recommended_chunks": (recommended_chunks, _SENTENCE),
     "token_chunks": (token_chunks, _TOKEN),
     "recursive_chunks": (recursive_chunks, None),
     "page_chunks": (page_chunks, _PAGES + f"""

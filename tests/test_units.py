@@ -282,6 +282,35 @@ def test_layouts(spark):
     c = spark.createDataFrame([("a", "text", {"content": "other", "k": "v"}, [1.0])], "id string, content string, metadata map<string,string>, embedding array<float>")
     assert store.as_layout(c, "pinecone").first().metadata == {"content": "text", "k": "v"}
     assert store.as_layout(c, "qdrant").first().payload == {"content": "other", "k": "v"}
+    assert store.as_layout(c, "weaviate").first().properties == {"content": "other", "k": "v"}
+    assert tuple(store.as_layout(c, "chroma").first())[:2] == ("a", "text")
+    assert store.as_layout(c, "milvus").first().fields == {"metadata_content": "other", "metadata_k": "v"}
+    with pytest.raises(ConfigurationError):
+        store.as_layout(c, "none")
+
+
+def test_end_to_end_search_equals_brute_force(spark, small):
+    from corpusloom.plans import store_queries
+
+    rows = table(spark, small, "documents").select("doc_id", T.for_embedding(F.col("text")).alias("t")).orderBy("doc_id").collect()
+    x = embedding.hash_embedder(64)()([r.t for r in rows]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.doc_id for r in rows])
+    got = {}
+    for r in store_queries.end_to_end_search(spark, small).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == {i for i in ids if i % 50 == 0}
+    for q, found in got.items():
+        score = np.round(x @ x[ids == q][0], 6)
+        score[ids == q] = -9
+        best = sorted(zip(-score, ids))[:3]
+        assert [s for _, s in (found[k] for k in (1, 2, 3))] == pytest.approx([-s for s, _ in best], abs=2e-6)
+
+
+def test_kmeans_keeps_every_vector(spark, small):
+    v = table(spark, small, "embeddings")
+    found = embedding_quality.clusters(v)
+    assert found.select("vec_id").distinct().count() == v.count() and found.select("cluster").distinct().count() == 10
 
 
 def test_pages(spark, tmp_path):
