@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import checkpoint, spread
+from corpusloom.runtime import broadcast_if_small, checkpoint, spread
 
 # accents on their own and invisible characters stand within words
 _WITHIN = "\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufeff"
@@ -308,18 +308,22 @@ def _ambiguous(known: dict[str, int] | None):
 
 
 def _pair_counts(wanted: set[str] | None):
+    sought = None if wanted is None else {tuple(p.split(" ")) for p in wanted}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["form", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(map(" ".join, counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["form", "n"])
             counts.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(_pairs_of(text) if wanted is None else filter(wanted.__contains__, _pairs_of(text)))
+                    words = _TOKEN.findall(text.lower())
+                    pairs = zip(words, words[1:])
+                    counts.update(pairs if sought is None else filter(sought.__contains__, pairs))
             if len(counts) > _COUNT_AT:
                 yield flush()
         yield flush()
@@ -327,15 +331,17 @@ def _pair_counts(wanted: set[str] | None):
     return run
 
 
-def with_contexts(texts: DataFrame, known: dict[str, int] | DataFrame, *, most: int = 200_000) -> dict[str, int] | DataFrame:
-    """The supported forms, and besides them how often the pairs of words occur that tell which form a misreading stands for.
+def with_contexts(texts: DataFrame, known: dict[str, int] | DataFrame, corpus: DataFrame, *, most: int = 200_000) -> dict[str, int] | DataFrame:
+    """The supported forms, and besides them how often the pairs of words occur in the corpus that tell which form a misreading in ``texts`` stands for.
 
     Up to ``most`` pairs go to the tasks; beyond them all pairs are counted and joined, and the forms become a table.
     """
     needed = checkpoint(with_forms(texts, known).mapInArrow(_ambiguous(_sent(known)), "form string, skeleton string").distinct())
     few = needed.select("form").limit(most + 1).collect()
     wanted = {r.form for r in few} if len(few) <= most else None
-    counts = texts.mapInArrow(_pair_counts(wanted), "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
+    if not few:
+        return known
+    counts = corpus.mapInArrow(_pair_counts(wanted), "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
     if isinstance(known, dict):
         if wanted is not None:
             return known | {r.form: r.n for r in counts.collect()}
@@ -523,16 +529,19 @@ def _page_paragraphs(texts: DataFrame, known: dict[str, int] | DataFrame) -> Dat
     return with_forms(texts, known).mapInArrow(_edited(None, _corrected, split=True), _PARAGRAPHS)
 
 
-def repaired_paragraphs(pages: DataFrame, noise: DataFrame, headers: DataFrame, known: dict[str, int] | DataFrame, *, block: int = 64) -> DataFrame:
-    """(document_id, first_page, paragraph, text): the paragraphs of documents with noisy pages, continued over page ends."""
-    scanned = noisy_pages(noise).select("document_id").distinct()
-    # a page that stands in both tables, or was delivered again, is read once
-    parts = pages.join(scanned, "document_id").groupBy("document_id", "page_number", "part").agg(F.min("text").alias("text"))
+def scanned_pages(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """(document_id, page_number, text) of all pages of the documents that have noisy ones; a page that stands in both tables, or was delivered again, comes once."""
+    scanned = checkpoint(noisy_pages(noise).select("document_id").distinct())
+    parts = pages.join(broadcast_if_small(scanned), "document_id").groupBy("document_id", "page_number", "part").agg(F.min("text").alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("part", "text")))  # the parts of one page
-    texts = parts.groupBy("document_id", "page_number").agg(ordered.alias("parts")).select(
+    return parts.groupBy("document_id", "page_number").agg(ordered.alias("parts")).select(
         "document_id", "page_number",
         F.when(F.col("parts")[0]["part"] < 0, F.col("parts")[0]["text"]).otherwise(F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")).alias("text"),
     )
+
+
+def repaired_paragraphs(texts: DataFrame, headers: DataFrame, known: dict[str, int] | DataFrame, *, block: int = 64) -> DataFrame:
+    """(document_id, first_page, paragraph, text): the paragraphs of scanned pages, continued over page ends."""
     listed = headers.groupBy("document_id").agg(F.collect_set("line").alias("lines"))  # a few for each document
     done = (
         _page_paragraphs(texts.join(listed, "document_id", "left").select("document_id", "page_number", "text", "lines"), known)

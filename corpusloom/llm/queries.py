@@ -111,7 +111,9 @@ def p7_paragraphs(spark: SparkSession, base: str) -> DataFrame:
     pages = _pages(spark, base)
     known = p07.frequent_forms(pages.select("text"))
     noise, headers = p07.page_noise(pages, known)
-    return p07.repaired_paragraphs(pages, checkpoint(noise), checkpoint(headers), p07.with_contexts(pages.select("text"), known))
+    texts = checkpoint(p07.scanned_pages(pages, noise))
+    known = p07.with_contexts(texts.select("text"), known, pages.select("text"))
+    return p07.repaired_paragraphs(texts, checkpoint(headers), known)
 
 
 def _packed(spark: SparkSession, base: str) -> DataFrame:

@@ -318,7 +318,7 @@ def test_p7_noise_and_repair(spark):
     known = p07.frequent_forms(pages.select("text"))
     noise, headers = p07.page_noise(pages, known)
     assert {tuple(r) for r in p07.noisy_pages(noise).collect()} == {("s", 1), ("s", 2), ("s", 3)}
-    out = p07.repaired_paragraphs(pages, noise, headers, known, block=2).orderBy("first_page").collect()
+    out = p07.repaired_paragraphs(p07.scanned_pages(pages, noise), headers, known, block=2).orderBy("first_page").collect()
     assert [r.text for r in out] == [
         "the page reader keeps every number in order and the page reader writes the number again.", "the number A1-B2 is half-quiet.",
     ]
@@ -349,7 +349,7 @@ def test_p7_headers_and_fragments(spark):
     noise, headers = p07.page_noise(pages, known)
     assert {tuple(r) for r in p07.noisy_pages(noise).collect()} == {("h", 2), ("h", 3), ("h", 4)}
     assert ("h", "@40") in {tuple(r) for r in headers.collect()}
-    text = " ".join(r.text for r in p07.repaired_paragraphs(pages, noise, headers, known).where("document_id = 'h'").collect())
+    text = " ".join(r.text for r in p07.repaired_paragraphs(p07.scanned_pages(pages, noise), headers, known).where("document_id = 'h'").collect())
     assert "Quarterly" not in text and "Guide" not in text and text.count("in order") == 5
 
 
@@ -391,7 +391,7 @@ def test_p7_more_forms_than_go_to_the_tasks(spark):
     for forms in (60_000, 3):
         known = p07.frequent_forms(pages.select("text"), forms=forms)
         noise, headers = p07.page_noise(pages, known)
-        paragraphs = p07.repaired_paragraphs(pages, noise, headers, known, block=2)
+        paragraphs = p07.repaired_paragraphs(p07.scanned_pages(pages, noise), headers, known, block=2)
         out.append([sorted(tuple(r) for r in x.collect()) for x in (p07.noisy_pages(noise), headers, paragraphs)])
     assert isinstance(known, p07.DataFrame)
     assert out[0] == out[1]
@@ -524,7 +524,7 @@ def test_p7_headers_of_several_lines(spark):
     known = p07.frequent_forms(pages.select("text"))
     noise, headers = p07.page_noise(pages, known)
     assert {tuple(r) for r in p07.noisy_pages(noise).collect()} == {("h", k) for k in range(1, 5)}
-    text = " ".join(r.text for r in p07.repaired_paragraphs(pages, noise, headers, known).collect())
+    text = " ".join(r.text for r in p07.repaired_paragraphs(p07.scanned_pages(pages, noise), headers, known).collect())
     assert not any(w in text for w in ("Quarterly", "Appendices", "Edition", "Volume")) and text.count("in order") == 16
 
 
@@ -536,7 +536,8 @@ def test_p7_context_chooses_the_form(spark):
     for forms, most in ((60_000, 200_000), (60_000, 1), (3, 200_000)):
         known = p07.frequent_forms(pages.select("text"), forms=forms)
         noise, headers = p07.page_noise(pages, known)
-        out = p07.repaired_paragraphs(pages, noise, headers, p07.with_contexts(pages.select("text"), known, most=most)).orderBy("first_page").collect()
+        texts = p07.scanned_pages(pages, noise)
+        out = p07.repaired_paragraphs(texts, headers, p07.with_contexts(texts.select("text"), known, pages.select("text"), most=most)).orderBy("first_page").collect()
         assert [r.text for r in out] == [f"{dear}.", f"{clear}."], (forms, most)
 
 
