@@ -58,6 +58,8 @@ _GAPS = re.compile(r"(?<=[^\s.!?;:,/–—-]) {2,}\S|(?<=\S) {4,}\S")
 _VERSION = re.compile(r"\d+\.\d+\.\d+$")
 _ENDS = re.compile(r"[.!?…:;]+[\"'”’»)\]]*$")
 _DISTINCT = 4  # frequent words that tell a language
+_WIDE = re.compile("[\uff01-\uff5e]")
+_NARROW = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _SEPARATOR = re.compile(r"[,;](?=\s)")
 _TERMINAL = re.compile(r"[.!?]+[\"'”’»)\]]*(?:\s|$)")
 
@@ -136,6 +138,7 @@ def _statistics(frequent: FrequentWords):
             if not rows:
                 continue
             ids, owners, texts = zip(*rows)
+            texts = tuple(t.translate(_NARROW) if not t.isascii() and _WIDE.search(t) else t for t in texts)  # letter for letter
             classes = _char_classes(list(texts))
             out = np.zeros((len(rows), len(NAMES)))
             lang: list[str | None] = []
