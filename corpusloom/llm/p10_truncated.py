@@ -207,32 +207,37 @@ def truncated(
     texts = records.select(F.col(id_col).alias("id"), source, column).select("id", "source", "c.column", "c.text").where(F.col("text").rlike(r"\S"))
     common = frozenset(r.word for r in collect_small(function_words.select("word").where("word is not null").distinct(), 10_000))
     ends = checkpoint(open_ends(texts, common))
-    looked = checkpoint(_looked_up(ends))
-    # how many different texts end so
-    ending = checkpoint(looked.groupBy("kind", "key").agg(F.count_distinct("look").alias("ends")))
+    found = limits(ends, chance)
+    measures = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"m{k}").alias("at")) for k, name in enumerate(_LENGTHS)]))
+    at_limit = checkpoint(
+        ends.select("id", "column", "source", measures.alias("m")).select("id", "column", "source", "m.measure", "m.at")
+        .join(broadcast_if_small(checkpoint(found)), ["source", "column", "measure", "at"])
+        .select("id", "column").distinct().withColumn("at_limit", F.lit(True))
+    )
+    looked = checkpoint(_looked_up(ends).join(broadcast_if_small(at_limit), ["id", "column"], "left"))
+    # how many different texts end so, and how many of them off the limits
+    free = F.count_distinct(F.when(F.col("at_limit").isNull(), F.col("look")))
+    ending = checkpoint(looked.groupBy("kind", "key").agg(F.count_distinct("look").alias("ends"), free.alias("free")))
     sought = ending.select("kind", "key").limit(_SOUGHT + 1).collect()
     wanted = {k: {r.key for r in sought if r.kind == k} for k in _KEYS} if len(sought) <= _SOUGHT else None
     elsewhere = spread(texts.select("text")).mapInArrow(_elsewhere(wanted), "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    known = checkpoint(ending.join(elsewhere, ["kind", "key"], "left").select("kind", "key", "ends", F.coalesce("n", F.lit(0)).alias("n")))
+    known = checkpoint(ending.join(elsewhere, ["kind", "key"], "left").select("kind", "key", "ends", "free", F.coalesce("n", F.lit(0)).alias("n")))
 
-    def of(kind: str, found: Column) -> Column:
-        return F.max(F.when(F.col("kind") == kind, found)).alias(f"is_{kind}")
+    def of(kind: str, found: Column, name: str = "is") -> Column:
+        return F.max(F.when(F.col("kind") == kind, found)).alias(f"{name}_{kind}")
 
     shared = (F.col("ends") >= 2) & (F.col("ends") >= F.col("n"))
+    at_any_length = (F.col("free") >= 2) & (2 * F.col("free") > F.col("ends")) & (F.col("free") >= F.col("n"))
     per = (
         looked.join(broadcast_if_small(known), ["kind", "key"]).groupBy("id", "column")
-        .agg(of("tail", F.col("n") > 0), of("first", F.col("n") > opening * F.col("ends")), of("line", shared), of("mask", shared))
-    )
-    found = limits(ends, chance)
-    measures = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"m{k}").alias("at")) for k, name in enumerate(_LENGTHS)]))
-    at_limit = (
-        ends.select("id", "column", "source", measures.alias("m")).select("id", "column", "source", "m.measure", "m.at")
-        .join(broadcast_if_small(checkpoint(found)), ["source", "column", "measure", "at"])
-        .groupBy("id", "column").agg(F.lit(True).alias("at_limit"))
+        .agg(of("tail", F.col("n") > 0), of("first", F.col("n") > opening * F.col("ends")), of("line", shared), of("mask", shared),
+             of("line", at_any_length, "free"), of("mask", at_any_length, "free"))
     )
     judged = ends.join(per, ["id", "column"], "left").join(at_limit, ["id", "column"], "left")
     yes = {k: F.coalesce(F.col(f"is_{k}"), F.lit(False)) for k in _KEYS}
-    limit = F.coalesce("at_limit", F.lit(False))
+    # a closing line that mostly ends texts off the limits is whole where it meets one
+    whole = F.col("short") & (F.coalesce("free_line", F.lit(False)) | F.coalesce("free_mask", F.lit(False)))
+    limit = F.coalesce("at_limit", F.lit(False)) & ~whole
     closing = F.col("short") & (yes["line"] | yes["mask"])
     title = F.col("title") & ~yes["first"]
     why = (

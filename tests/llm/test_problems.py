@@ -508,6 +508,22 @@ def test_p10_limits_by_chance(spark):
         assert limits_of(spread + [spread[0]] * 50) == set()
 
 
+def test_p10_signatures_at_a_limit(spark):
+    """A closing line that ends texts of any length is whole at a limit, too; a beginning that is cut there isn't."""
+    random.seed(3)
+    words = spark.createDataFrame([("en", "the"), ("en", "of")], "lang string, word string")
+
+    def filled(tail, size):
+        body = " ".join("".join(random.choice("abcdefgh") for _ in range(random.randint(2, 9))) for _ in range(80))
+        return body[: size - len(tail) - 3].rstrip() .ljust(size - len(tail) - 3, "x") + ".\n\n" + tail
+
+    cut = [(k, filled(t, 255), "s") for k, t in enumerate(["The sentence of th", "Nobo", "There ar", "Nobody expected t", "Nobo", "After t", "In the middle of", "Section 5 says th"] * 2)]
+    signed = [(100, filled("The review board", 255), "s")] + [(101 + k, filled("The review board", 120 + 7 * k), "s") for k in range(6)]
+    rest = [(200 + k, f"Nobody expected the sentence number {k} of the text. There are others. After the end comes another.", "s") for k in range(30)]
+    found = p10.truncated(spark.createDataFrame(cut + signed + rest, "doc_id long, text string, source string"), words)
+    assert {r.id for r in found.where("at_limit").collect()} == {r[0] for r in cut} and {r.id for r in found.collect()} == {r[0] for r in cut}
+
+
 def test_p10_columns(spark):
     words = spark.createDataFrame([("en", "the"), ("en", "of")], "lang string, word string")
     df = spark.createDataFrame([(1, "It is whole.", "ends with the", "s"), (2, None, None, None), (3, "It breaks in the midd", "", "s"), (4, "The middle of it.", "x y.", "s")],
