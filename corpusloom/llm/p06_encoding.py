@@ -268,16 +268,20 @@ class Swaps:
             after = _MOVES[:, at]
             costs = (self.table[inside, after] * count).sum(axis=1)
             scores = costs / self.trust(steps)
+            good = costs <= self.good * count.sum()
+            fine, rest = np.where(good, scores, np.inf), np.where(good, np.inf, scores)
+            k = int(fine.argmin())
+            if fine[k] < best[0] - 1e-9:
+                best = (float(fine[k]), (*path, k))
+            k = int(rest.argmin())
+            if rest[k] < other[0] - 1e-9:
+                other = (float(rest[k]), (*path, k))
+            if least / self.trust(steps + 1) >= min(best[0], other[0]):
+                continue  # no text beyond these could be taken
             for op in np.argsort(scores, kind="stable"):
                 key = after[op].tobytes()
-                if key in seen:
-                    continue
-                seen.add(key)
-                if scores[op] < best[0] - 1e-9 and costs[op] <= self.good * count.sum():
-                    best = (float(scores[op]), (*path, int(op)))
-                elif scores[op] < other[0] - 1e-9:
-                    other = (float(scores[op]), (*path, int(op)))
-                if least / self.trust(steps + 1) < min(best[0], other[0]):
+                if key not in seen:
+                    seen.add(key)
                     order += 1
                     heapq.heappush(queue, (float(scores[op]), order, after[op], (*path, int(op))))
         found = best[1] or other[1]
