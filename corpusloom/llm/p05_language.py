@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,20 +74,20 @@ class Profiles:
                 for ch in gram.strip("_"):
                     letters[ch] += n
         self.languages = sorted(counts)
-        self.symbol = np.zeros(0x500, np.int32)
+        self.symbol = np.zeros(0x501, np.int32)  # the last one stands for all beyond
         for k, (ch, _) in enumerate(letters.most_common(_SYMBOLS - 2)):
-            if ord(ch) < len(self.symbol):
+            if ord(ch) < 0x500:
                 self.symbol[ord(ch)] = k + 1
         ranked = {}
         for lang in self.languages:
             top = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:PROFILE]
             ranked[lang] = {g: r for r, (g, _) in enumerate(top)}
         grams = sorted({g for r in ranked.values() for g in r})
-        self.rank = np.full((len(grams), len(self.languages)), PROFILE, np.float32)
+        self.rank = np.full((len(self.languages), len(grams)), PROFILE, np.float32)
         for j, lang in enumerate(self.languages):
             for g, r in ranked[lang].items():
-                self.rank[grams.index(g), j] = r
-        self.tables = [np.full(_SYMBOLS**n, -1, np.int32) for n in (1, 2, 3)]
+                self.rank[j, grams.index(g)] = r
+        self.tables = [np.full(_SYMBOLS**n, -1, np.min_scalar_type(-len(grams) - 1)) for n in (1, 2, 3)]
         for k, g in enumerate(grams):
             code = 0
             for ch in g:
@@ -102,37 +103,41 @@ class Profiles:
             joined = "\n".join(texts)
         if not texts or not joined:
             return out
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(points < 0x500, self.symbol[np.minimum(points, 0x4FF)], 0)
-        owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(code)]
-        code = np.concatenate(([0], code, [0]))
-        owner = np.concatenate(([0], owner, [len(texts) - 1]))
-        v = len(self.rank)
+        v = self.rank.shape[1]
+        code = np.zeros(len(joined) + 2, np.int32)
+        code[1:-1] = self.symbol.take(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
+        bounds = np.arange(len(texts) + 1) * v
+        owner = np.zeros(len(code), np.int32 if bounds[-1] < 2**31 else np.int64)  # as the first key of the text
+        owner[1:] = np.repeat(bounds[:-1], [len(t) + 1 for t in texts])
         keys = []
         pair = code[:-1] * _SYMBOLS + code[1:]
         triple = pair[:-1] * _SYMBOLS + code[2:]
         for table, grams, mid in ((self.tables[0], code, owner), (self.tables[1], pair, owner[1:]), (self.tables[2], triple, owner[1:-1])):
-            found = table[grams]
-            good = found >= 0
-            keys.append(mid[good] * v + found[good])
-        keys, count = np.unique(np.concatenate(keys), return_counts=True)
+            found = table.take(grams)
+            good = np.flatnonzero(found >= 0)
+            keys.append(mid.take(good) + found.take(good))
+        keys = np.concatenate(keys)
         if not len(keys):
             return out
-        who, gram = keys // v, keys % v
-        order = np.lexsort((-count, who))
-        first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))  # who is in order
-        place = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate((first, [len(order)]))))
-        # equal counts share their mean rank
-        c, w = count[order], who[order]
-        tie = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
-        group = np.cumsum(tie) - 1
-        mean = np.bincount(group, weights=place) / np.bincount(group)
-        rank = np.empty(len(order), np.float32)
-        rank[order] = mean[group]
-        away = np.abs(self.rank[gram] - rank[:, None])
-        np.copyto(away, PROFILE, where=self.rank[gram] >= PROFILE)
-        total = np.add.reduceat(away, first, axis=0)
-        out[who[first]] = total / np.diff(np.concatenate((first, [len(who)])))[:, None]
+        keys.sort()
+        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        count = np.diff(edges)
+        keys = keys.take(edges[:-1])
+        ends = np.searchsorted(keys, bounds.astype(keys.dtype))
+        who = np.flatnonzero(np.diff(ends))
+        first, size = ends[who], np.diff(ends)[who]
+        gram = keys - np.repeat(bounds[who].astype(keys.dtype), size)
+        # equal counts share their mean rank: a text's n-grams are numbered by how many have each count, highest first
+        top = np.maximum.reduceat(count, first)
+        slot = np.repeat(np.cumsum(top), size) - count
+        same = np.bincount(slot, minlength=top.sum())
+        place = np.cumsum(same) - (same + 1) / 2 - np.repeat(first, top)
+        rank = place.astype(np.float32).take(slot)
+        for j, theirs in enumerate(self.rank):
+            r = theirs.take(gram)
+            away = np.abs(r - rank) - PROFILE
+            away *= r < PROFILE  # an n-gram that the profile lacks is PROFILE away
+            out[who, j] = (np.add.reduceat(away, first) + PROFILE * size) / size
         return out
 
 
@@ -179,10 +184,15 @@ def fit_profiles(records: DataFrame, common_words: DataFrame, *, text_col: str,
 _SEGMENTS = "id bigint, start int, end int, complete boolean, lang string, confidence double"
 
 
+def _enough(text: str, start: int, end: int, words: int) -> bool:
+    """Whether a stretch of a text has as many words; those beyond aren't looked for."""
+    return words < 1 or next(islice(_WORDS.finditer(text, start, end), words - 1, None), None) is not None
+
+
 def _judged(sentence: str, min_words: int) -> str:
     """A sentence without short quotations, if enough is left of it."""
-    bare = _QUOTED.sub(" ", sentence)
-    return bare if len(_WORDS.findall(bare)) >= min_words else sentence
+    bare, quoted = _QUOTED.subn(" ", sentence)
+    return bare if quoted and _enough(bare, 0, len(bare), min_words) else sentence
 
 
 def _judge(profiles: Profiles, min_chars: int, min_words: int, lead: float):
@@ -199,7 +209,7 @@ def _judge(profiles: Profiles, min_chars: int, min_words: int, lead: float):
                 whole = profiles.distances(texts)
                 parts, spans, of = [], [], []
                 for k, text in enumerate(texts):
-                    found = [s for s in sentences(text) if len(_WORDS.findall(text, s[0], s[1])) >= min_words]
+                    found = [s for s in sentences(text) if _enough(text, *s[:2], min_words)]
                     for s in found or [(0, len(text), False)]:
                         parts.append(_judged(text[s[0] : s[1]], min_words))
                         spans.append(s)

@@ -45,13 +45,15 @@ WESTERN = "€éáóíàèüäöñãçêúßùâôîõìòïëœ’“”–—
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 
 _ESCAPE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}"
-_RUN = re.compile(rf"(?:[^\x00-\x7f]|{_ESCAPE})+")
+_RUN = re.compile(rf"(?:[^\x00-\x7f]+|{_ESCAPE})+")
+_UNUSUAL = re.compile(r"[^\x00-\x7f][^\x00-\x7f]*")  # the runs of a text without escapes
 _BACKSLASH = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _MULTI = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _CYRILLIC = re.compile(r"[\u0400-\u045f]")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 # left over when a byte was lost: the first characters of two- and three-byte sequences
 _REMNANT = re.compile(r"â€|â\u0080|‚Ä|ΓÇ|[ÃÂ](?=[^\w\s\"'’”)]|\s(?=[a-z])|$)|(?<=[a-z])[ÃÂ](?![A-ZÀ-Ý])|[├√](?=[^\s─-▟])|[\u0080-\u009f]")
+_REMNANT_SIGN = re.compile(r"[âÃÂ‚Γ├√\u0080-\u009f]")  # what a remnant begins with
 _COMMON = "‘’“”„‚–—…€•°¿¡«»™‐‑№" + "\u00a0\u00ad\u2009\u202f"
 _MARGIN = 0.9
 _PLAIN = 1.12  # what a letter costs on average in plain Russian, at most
@@ -176,19 +178,22 @@ def restore_run(run: str) -> tuple[str, tuple[str, ...]]:
 _RANK = {c: k / 8 for k, c in enumerate(RUSSIAN)}
 
 
+@lru_cache(4096)
+def _letter_cost(c: str) -> tuple[float, float, bool]:
+    """What a character costs, what it costs more within a word, and whether a word goes on after it."""
+    if c.isalpha() and ord(c) > 127:
+        return _RANK.get(c.lower(), 4.5), 0.7 if c.isupper() else 0.0, True
+    return 0.0 if ord(c) < 128 else _char_cost(c) * 1.5, 0.0, c.isalpha()
+
+
 def letters_cost(text: str) -> float:
     """Implausibility of a sentence as Russian: rare letters, capitals within words, other letters."""
     cost, inside = 0.0, False
-    for c in text:
-        if c.isalpha() and ord(c) > 127:
-            low = c.lower()
-            cost += _RANK.get(low, 4.5)
-            if inside and c.isupper():
-                cost += 0.7
-            inside = True
-        else:
-            cost += 0 if ord(c) < 128 else _char_cost(c) * 1.5
-            inside = c.isalpha()
+    for alone, within, goes_on in map(_letter_cost, text):
+        cost += alone
+        if inside:
+            cost += within
+        inside = goes_on
     return cost
 
 
@@ -353,7 +358,8 @@ def restore(text: str) -> tuple[str, tuple[str, ...], bool]:
     if text.isascii() and "&" not in text and "\\" not in text:
         return text, (), False
     fixed, path = _restore_runs(text)
-    if _CYRILLIC.search(fixed) or _ODD.search(fixed):
+    signs = " ".join(_runs(fixed))  # each run once tells what kinds of characters there are
+    if _CYRILLIC.search(signs) or _ODD.search(signs):
         swapped, ops = _restore_letters(fixed)
         n = len(_CYRILLIC.findall(swapped))
         if path and n and letters_cost(swapped) > _PLAIN * n:  # what looked like sequences of bytes may have been letters
@@ -361,13 +367,29 @@ def restore(text: str) -> tuple[str, tuple[str, ...], bool]:
             other, path_other = _restore_runs(first)
             if ops_first and letters_cost(other) < letters_cost(swapped):
                 swapped, path, ops = other, ops_first, path_other
+        if swapped != fixed:
+            signs = swapped
         fixed, path = swapped, (*path, *ops)
     path = tuple(dict.fromkeys(path))
-    affected = bool(path) or "\ufffd" in fixed or bool(_REMNANT.search(fixed))
+    affected = bool(path) or "\ufffd" in fixed or bool(_REMNANT_SIGN.search(signs) and _REMNANT.search(fixed))
     return fixed, path, affected
 
 
+_kept: set[str] = set()  # runs met in this task that stay as they are
+
+
+def _runs(text: str) -> set[str]:
+    return set((_RUN if "&" in text or "\\" in text else _UNUSUAL).findall(text))
+
+
 def _restore_runs(text: str) -> tuple[str, tuple[str, ...]]:
+    new = _runs(text) - _kept
+    stay = [run for run in new if not restore_run(run)[1]]
+    if len(_kept) > 50_000:
+        _kept.clear()
+    _kept.update(stay)
+    if len(stay) == len(new):
+        return text, ()
     path: dict[str, None] = {}
 
     def one(m: re.Match) -> str:

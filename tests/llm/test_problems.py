@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -253,6 +254,59 @@ def test_p5_sentences():
     assert [(text[a:b].strip(), c) for a, b, c in p05.sentences(text)] == [("One is 3.5 here.", True), ("Two?", True), ("Title", False), ("Three!", True)]
 
 
+def test_p5_distances_by_definition():
+    learned = {"de": "der die das und über größere Wörter, " * 9, "en": "the word and the other words are here ", "ru": "слово и другое слово после слова "}
+    counts = {lang: Counter() for lang in learned}
+    for lang, text in learned.items():
+        p05.count_ngrams(text, counts[lang])
+    ranked = {lang: {g: r for r, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: p05.PROFILE])} for lang, c in counts.items()}
+    known = set().union(*ranked.values())
+    letters = {c for g in known for c in g} - {"_"}
+
+    def distance(text, ranks):
+        bare = "".join(c if c in letters else "_" for c in text.lower())
+        own = Counter(g for n in (1, 2, 3) for i in range(len(bare) + 3 - n) if (g := f"_{bare}_"[i : i + n]) in known)
+        mean = {c: sum(n > c for n in own.values()) + (sum(n == c for n in own.values()) - 1) / 2 for c in own.values()}
+        return sum(abs(ranks[g] - mean[n]) if g in ranks else p05.PROFILE for g, n in own.items()) / len(own) if own else p05.PROFILE
+
+    texts = ["The words are over THERE.", "", "Größere Wörter und das Wort", "слово, слово", "12 34", "\U0001d400 中", "eee " * 500, "word " * 3000, "ddddd"]
+    for part in (texts, texts[::-1], texts[-1:], texts[4:5]):
+        got = p05.Profiles(counts).distances(part)
+        assert np.array_equal(got, np.array([[distance(t, ranked[lang]) for lang in sorted(ranked)] for t in part], np.float32))
+
+
+def test_p5_counts_no_more_words_than_it_needs(monkeypatch):
+    class Words:
+        def __init__(self, pattern):
+            self.pattern, self.met = pattern, 0
+
+        def finditer(self, *at):
+            for m in self.pattern.finditer(*at):
+                self.met += 1
+                yield m
+
+        def findall(self, *at):
+            return [m.group() for m in self.finditer(*at)]
+
+    counts = {"de": Counter(), "en": Counter()}
+    p05.count_ngrams("das wort und die", counts["de"])
+    p05.count_ngrams("the word and the", counts["en"])
+    words = Words(p05._WORDS)
+    monkeypatch.setattr(p05, "_WORDS", words)
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["the word and " * 300 + "the end."]})
+    (out,) = p05._judge(p05.Profiles(counts), 20, 4, 0.18)(iter([batch]))
+    assert out.column("lang").to_pylist() == ["en"] and words.met <= 4
+
+
+def test_p6_looks_at_each_run_once(monkeypatch):
+    met = []
+    real = p06.restore_run
+    monkeypatch.setattr(p06, "restore_run", lambda run: met.append(run) or real(run))
+    text = "Двадцать зубров, двадцать ёлок и «щегол»: " * 40
+    assert [p06.restore(text) for _ in range(3)] == [(text, (), False)] * 3
+    assert len(met) == len(set(met))
+
+
 CLEAN = ("The résumé costs €5 — “fine”, it’s so.", "NÃO HÁ AÇÃO: a seção", "Die größere Übersicht", "Почему словарь удаляет отчёт", "a &amp; b", "plain", "")
 
 
